@@ -29,6 +29,11 @@ VERDICTS = (
     (50, "different", "Documents have significant differences", "orange"),
     (None, "very_different", "Documents are substantially different", "red"),
 )
+#: Suggestion for a sentence of one document only, by side.
+ONLY_TEXTS = (
+    "This sentence appears in document 1 but not in document 2",
+    "This sentence appears in document 2 but not in document 1",
+)
 
 
 def strip(text: Column) -> Column:

@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinleaf.config import DEFAULTS, Settings
-from twinleaf.functions.text import classify, severity, suggestions, verdict
-
-ONLY = "This sentence appears in document {} but not in document {}"
+from twinleaf.functions.text import ONLY_TEXTS, classify, severity, suggestions, verdict
 
 
 def match_quality(pairs: DataFrame, matches: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -58,7 +56,7 @@ def differences(matches: DataFrame, only1: DataFrame, only2: DataFrame, cfg: Set
             F.lit("high").alias("severity"), (place if side == 1 else nowhere).alias("position1"),
             (place if side == 2 else nowhere).alias("position2"), (text if side == 1 else nothing).alias("sentence1"),
             (text if side == 2 else nothing).alias("sentence2"), F.lit(0.0).alias("similarity"),
-            F.array(F.lit(ONLY.format(side, 3 - side))).alias("suggestions"),
+            F.array(F.lit(ONLY_TEXTS[side - 1])).alias("suggestions"),
         )
 
     return mismatch.unionByName(only(only1, 1)).unionByName(only(only2, 2))
