@@ -2,8 +2,55 @@
 
 from __future__ import annotations
 
-P1_FOUND = "SELECT DISTINCT doc_id, seq FROM sentence WHERE length(text) > 500"
+import re
+
+from twinleaf.llm import normalizing as nz
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def consistent(x: str) -> str:
+    """The consistent form, letter by letter: look-alikes, widths and blanks replaced, invisible characters removed."""
+    import unicodedata
+
+    table = {k: v for k, v in nz.LOOK_ALIKES.items() if len(v) == 1}
+    for c in nz._MARKED:
+        d = unicodedata.normalize("NFD", c)
+        table[c] = unicodedata.normalize("NFC", nz.LOOK_ALIKES[d[0]] + d[1:])
+    table = {k: v for k, v in table.items() if len(v) == 1}
+    table |= {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}
+    blanks = (c for c in map(chr, range(0x80, 0x3001)) if re.fullmatch(f"[{nz.BLANKS}]", c))
+    table |= dict.fromkeys(blanks, " ")
+    out = f"translate({x}, {q(''.join(table))}, {q(''.join(table.values()))})"
+    for k, v in nz.LOOK_ALIKES.items():
+        if len(v) > 1:
+            out = f"replace({out}, {q(k)}, {q(v)})"
+    gone = r"[\x{ad}\x{34f}\x{61c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{fe00}-\x{fe0f}\x{feff}]"
+    return f"nfc_normalize(regexp_replace({out}, {q(gone)}, '', 'g'))"
+
+
+def words(x: str) -> str:
+    """Words without case, marks and spacing, parted by single blanks."""
+    out = f"replace(lower({consistent(x)}), 'ß', 'ss')"
+    out = f"regexp_replace({out}, {q(r'[-‐‑¬]\s*\n\s*')}, '', 'g')"
+    out = f"regexp_replace({out}, {q(r'\[[0-9]{1,3}\]')}, ' ', 'g')"
+    out = f"regexp_replace({out}, {q(r'([\p{L}])[.!?;:]([\p{L}])')}, '\\1 \\2', 'g')"
+    out = f"regexp_replace({out}, {q(r'[^\p{L}\p{N}\s]')}, '', 'g')"
+    return f"trim(regexp_replace({out}, {q(r'\s+')}, ' ', 'g'))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND}
+    return {
+        "p1_found": "SELECT DISTINCT doc_id, seq FROM sentence WHERE length(text) > 500",
+        "p3_found": f"SELECT DISTINCT match_id FROM sentence_match WHERE NOT exact_match AND {consistent('sent1.text')} = {consistent('sent2.text')}",
+        "p3_matches": f"""WITH m AS (SELECT match_id, any_value({consistent('sent1.text')}) AS text1, any_value({consistent('sent2.text')}) AS text2,
+ any_value(exact_match) AS stored_exact, any_value(normalized_match) AS stored_normalized FROM sentence_match GROUP BY match_id),
+ n AS (SELECT *, trim(regexp_replace(lower(text1), '\\s+', ' ', 'g'), ' .,!?;:') AS a, trim(regexp_replace(lower(text2), '\\s+', ' ', 'g'), ' .,!?;:') AS b FROM m)
+ SELECT match_id, text1, text2, coalesce(text1 = text2, false) AS exact_match, coalesce(a = b, false) AS normalized_match, stored_exact, stored_normalized FROM n""",
+        "p7_found": f"""WITH i AS (SELECT item_id, string_split({words('text')}, ' ') AS w FROM benchmark),
+ runs AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 11], '') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+ d AS (SELECT doc_id, replace({words('text')}, ' ', '') AS squeezed FROM documents WHERE text IS NOT NULL)
+ SELECT DISTINCT doc_id, item_id FROM d JOIN runs ON contains(squeezed, run)""",
+    }
