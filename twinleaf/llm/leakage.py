@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ from twinleaf.llm.normalizing import consistent
 from twinleaf.sources.tables import spread
 
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 4
 #: Words of a passage. Passages overlap so far that every run of ``run`` words lies whole in one of them.
 PASSAGE = 64
 #: Share of the threshold that is asked for, so that words damaged by lost or added blanks don't hide a passage.
@@ -48,95 +48,80 @@ def words_of(text: str, drop_references: bool = True) -> list[str]:
 
 
 class ItemIndex:
-    """BM25 index of the test items with block maxima, and the items' runs for verification."""
+    """BM25 index of the test items with block maxima, and the items' runs for verification.
+
+    Items are ordered so that those of like beginnings share a block, and blocks are the same for all terms. The pivot
+    test of WAND - can the terms' block maxima reach the threshold together? - is then made for all blocks at once;
+    blocks that fail are skipped, the items of the others are scored.
+    """
 
     def __init__(self, items: list[tuple[int, str]], run: int = 12):
         self.run = run
-        kept = [(i, words_of(t)) for i, t in items if t]
-        kept = [(i, w) for i, w in kept if len(w) >= run]
-        self.ids = [i for i, _ in kept]
-        self.words = [w for _, w in kept]
+        kept = [(words_of(t), i) for i, t in items if t]
+        kept = sorted((w, i) for w, i in kept if len(w) >= run)
+        self.ids = [i for _, i in kept]
+        self.words = [w for w, _ in kept]
         n = max(len(kept), 1)
         average = sum(map(len, self.words)) / n
         df = Counter(w for ws in self.words for w in set(ws))
-        weights: list[dict[str, float]] = []
-        for ws in self.words:
+        postings: dict[str, list[tuple[int, float]]] = {}
+        for d, ws in enumerate(self.words):
             tf = Counter(ws)
             norm = K1 * (1 - B + B * len(ws) / average)
             raw = {
                 w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + norm) for w, c in tf.items()
             }
             least = min(sum(raw[w] for w in set(ws[k : k + run])) for k in range(len(ws) - run + 1))
-            weights.append({w: x / least for w, x in raw.items()})
-        postings: dict[str, list[tuple[int, float]]] = {}
-        for d, ws in enumerate(weights):
-            for w, x in ws.items():
-                postings.setdefault(w, []).append((d, x))
-        self.docs = {w: [d for d, _ in p] for w, p in postings.items()}
-        self.scores = {w: [x for _, x in p] for w, p in postings.items()}
-        self.top = {w: max(x) for w, x in self.scores.items()}
-        self.block_top = {
-            w: [max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for w, x in self.scores.items()
-        }
+            for w, x in raw.items():
+                postings.setdefault(w, []).append((d, x / least))
+        self.blocks = -(-len(kept) // BLOCK)
+        #: By term: its blocks, their maxima, where each block's postings begin, the items and their weights.
+        self.terms: dict[str, tuple[np.ndarray, np.ndarray, dict[int, tuple[int, int]], list[int], list[float]]] = {}
+        self.top: dict[str, float] = {}
+        for w, p in postings.items():
+            docs, scores = [d for d, _ in p], [x for _, x in p]
+            spans: dict[int, tuple[int, int]] = {}
+            for k, d in enumerate(docs):
+                first, _ = spans.get(d // BLOCK, (k, k))
+                spans[d // BLOCK] = (first, k + 1)
+            maxima = np.array([max(scores[a:b]) for a, b in spans.values()])
+            self.terms[w] = (np.array(list(spans), dtype=np.int64), maxima, spans, docs, scores)
+            self.top[w] = max(scores)
+        self._anchors: dict[int, list[str]] = {}
         self._windows: dict[int, list[str]] = {}
 
     def candidates(self, passage: list[str], threshold: float) -> Iterator[tuple[int, float]]:
         """Items that score ``threshold`` or more for the ``passage``: block-max WAND, all of them, not the best few."""
-        top, docs, scores, blocks = self.top, self.docs, self.scores, self.block_top
+        top = self.top
         terms = [w for w in set(passage) if w in top]
-        if sum(top[w] for w in terms) < threshold:
+        if sum([top[w] for w in terms]) < threshold:
             return
-        end = len(self.ids)
-        cursors = [[docs[w][0], 0, w] for w in terms]
-        while True:
-            cursors.sort(key=lambda c: c[0])
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                if c[0] >= end:
-                    break
-                bound += top[c[2]]
-                if bound >= threshold:
-                    pivot = k
-                    break
-            if pivot < 0:
-                return
-            d = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == d:
-                pivot += 1
-            # Block maxima of the blocks that can hold d, and the first item after the nearest block border.
-            limit, border = 0.0, end
-            for c in cursors[: pivot + 1]:
-                w = c[2]
-                at = bisect_left(docs[w], d, c[1])
-                if at < len(docs[w]):
-                    limit += blocks[w][at // BLOCK]
-                    last = min((at // BLOCK + 1) * BLOCK, len(docs[w])) - 1
-                    border = min(border, docs[w][last] + 1)
-            if pivot + 1 < len(cursors):
-                border = min(border, cursors[pivot + 1][0])
-            if limit < threshold:
-                target = max(border, d + 1)
-            else:
-                score = 0.0
-                for c in cursors[: pivot + 1]:
-                    w = c[2]
-                    at = bisect_left(docs[w], d, c[1])
-                    if at < len(docs[w]) and docs[w][at] == d:
-                        score += scores[w][at]
-                if score >= threshold:
-                    yield d, score
-                target = d + 1
-            for c in cursors[: pivot + 1]:
-                w = c[2]
-                if c[0] < target:
-                    c[1] = bisect_left(docs[w], target, c[1])
-                    c[0] = docs[w][c[1]] if c[1] < len(docs[w]) else end
+        held = [self.terms[w] for w in terms]
+        bound = np.bincount(
+            np.concatenate([t[0] for t in held]), weights=np.concatenate([t[1] for t in held]), minlength=self.blocks
+        )
+        for block in np.flatnonzero(bound >= threshold).tolist():
+            score: dict[int, float] = {}
+            for _, _, spans, docs, scores in held:
+                span = spans.get(block)
+                if span is not None:
+                    for k in range(*span):
+                        d = docs[k]
+                        score[d] = score.get(d, 0.0) + scores[k]
+            for d, x in score.items():
+                if x >= threshold:
+                    yield d, x
 
     def longest(self, item: int, squeezed: str) -> int:
         """Words of the longest run of the item that the ``squeezed`` text holds, 0 below ``run``."""
         ws, run = self.words[item], self.run
         if item not in self._windows:
+            half = max(1, run // 2)
+            # Every run of ``run`` words covers one of these anchors whole.
+            self._anchors[item] = ["".join(ws[k : k + half]) for k in range(0, len(ws) - half + 1, half)]
             self._windows[item] = ["".join(ws[k : k + run]) for k in range(len(ws) - run + 1)]
+        if not any(x in squeezed for x in self._anchors[item]):
+            return 0
         best = length = 0
         for k, window in enumerate(self._windows[item]):
             if length and window in squeezed and "".join(ws[k - length : k + run]) in squeezed:
