@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinleaf.llm.normalizing import consistent
@@ -26,11 +27,10 @@ SIMILARITY = 0.6
 #: Messages of more words are ordinary text; no notice or error message is that long.
 LONGEST = 40
 
-_HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
-_NUMBER = re.compile(r"\d+(?:[.,:/]\d+)*")
+_DIGIT = re.compile(r"\d")
 _TAGS = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?>")
-_SENTENCE = re.compile(r"(?<=[.!?。！？।])\s+|\n\s*\n|(?<=[。！？।])")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|<\*>|[^\W_]")
+_SENTENCE = re.compile(r"[.!?。！？।]\s+|[。！？।]|\n\s*\n")
+_WORD = re.compile(r"[^\W\d_]++(?!\d)(?:['’][^\W\d_]++)?|\b[0-9a-f]{6,}\b|\d++(?:[.,:/]\d++)*|[^\W\d_]+")
 
 # Stems and words by the part they play in a notice, lower case, several languages.
 SCRIPT_WORDS = ("javascript", "script", "scripts", "cookies", "ecmascript")
@@ -80,20 +80,23 @@ MENU = set(
 )
 
 _NAME = r"[^\W\d_][\w]*(?:[ ._'’-][\w]+){0,5}"
-# The shapes of unfilled slots.
-SLOTS = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}"
-    r"|\{%[^{}\n]{1,60}%\}"
-    r"|\$\{[^{}\n]{1,60}\}"
-    rf"|\{{{_NAME}\}}"
-    r"|<<[^<>\n]{1,60}>>"
-    r"|\[\[[^\[\]\n]{1,60}\]\]"
-    r"|@@[\w .-]{1,60}@@"
-    r"|#[^\W\d_][A-ZÀ-ÝА-Я0-9_]{2,}#"
-    r"|%[^\W\d_a-zà-ÿ][A-ZÀ-ÝА-Я0-9_]{2,}%"
-    r"|(?<![\w_])__[^\W_][\w]*?[^\W_]__(?![\w_])"
-    r"|\[\s*(?:[●•◆■○]|…|\.\.\.|_{2,})\s*\]"
-    r"|(?<![\w-])X{4,}(?![\w-])"
+# The shapes of unfilled slots, each behind the text that all of its kind hold.
+SLOTS = tuple(
+    (mark, re.compile(shape))
+    for mark, shape in (
+        ("{{", r"\{\{[^{}\n]{1,60}\}\}"),
+        ("{%", r"\{%[^{}\n]{1,60}%\}"),
+        ("${", r"\$\{[^{}\n]{1,60}\}"),
+        ("{", rf"\{{{_NAME}\}}"),
+        ("<<", r"<<[^<>\n]{1,60}>>"),
+        ("[[", r"\[\[[^\[\]\n]{1,60}\]\]"),
+        ("@@", r"@@[\w .-]{1,60}@@"),
+        ("#", r"#[^\W\d_][A-ZÀ-ÝА-Я0-9_]{2,}#"),
+        ("%", r"%[^\W\d_a-zà-ÿ][A-ZÀ-ÝА-Я0-9_]{2,}%"),
+        ("__", r"(?<![\w_])__[^\W_][\w]*?[^\W_]__(?![\w_])"),
+        ("[", r"\[\s*(?:[●•◆■○]|…|\.\.\.|_{2,})\s*\]"),
+        ("XXXX", r"(?<![\w-])X{4,}(?![\w-])"),
+    )
 )
 _ANGLE = re.compile(r"<([A-ZÀ-ÝА-Я][A-ZÀ-ÝА-Я0-9_ ]{1,40})>")
 _SQUARE = re.compile(r"\[([^\[\]\n]{2,60})\]")
@@ -115,72 +118,92 @@ _CLICK = re.compile(
     r"haga clic aquí para (?:escribir|introducir)|pulse aquí para (?:escribir|introducir)",
     re.I,
 )
+_CLICK_PARTS = ("to enter", "sie hier, um", "ici pour", "aquí para")
 _HTML = set("HTML HEAD TITLE BODY DIV SPAN TABLE UL OL LI BR HR PRE FORM".split())
 
 
 def has_slot(text: str) -> bool:
-    """Whether ``text`` holds an unfilled template field."""
-    if SLOTS.search(text):
+    """Whether ``text``, in the consistent form, holds an unfilled template field."""
+    if any(mark in text and shape.search(text) for mark, shape in SLOTS):
         return True
-    for m in _ANGLE.finditer(text):
+    for m in _ANGLE.finditer(text) if "<" in text else ():
         if m.group(1) not in _HTML:
             return True
-    for m in _SQUARE.finditer(text):
+    for m in _SQUARE.finditer(text) if "[" in text else ():
         inside = m.group(1).strip()
         if _SLOT_ACTS.search(inside) or (inside.isupper() and _SLOT_NAMES.search(inside)):
             return True
-    for m in _GUILLEMET.finditer(text):
+    for m in _GUILLEMET.finditer(text) if "«" in text or "‹" in text else ():
         inside = m.group(1)
         if _SLOT_NAMES.search(inside) and len(inside) <= 24:
             return True
-    return bool(_CLICK.search(text))
+    low = text.lower()
+    return any(x in low for x in _CLICK_PARTS) and bool(_CLICK.search(low))
+
+
+def _parts(text: str) -> list[str]:
+    """The sentences of the paragraphs of a text in the consistent form, lower case."""
+    return _SENTENCE.split((_TAGS.sub("\n\n", text) if "<" in text else text).lower())
+
+
+def _masked(part: str) -> list[str]:
+    """The words of a message, with a wildcard for each number and code."""
+    return [w if w.isalpha() or not _DIGIT.search(w) else ANY for w in _WORD.findall(part)]
 
 
 def messages(text: str) -> list[list[str]]:
-    """The messages of a document as masked words: the sentences of its paragraphs, lower case, numbers and codes masked."""
-    plain = _TAGS.sub("\n\n", text)
-    out = []
-    for part in _SENTENCE.split(plain):
-        if not part or not part.strip():
-            continue
-        low = consistent(part).lower()
-        low = _NUMBER.sub(ANY, _HEX.sub(ANY, low))
-        words = _WORD.findall(low)
-        if words:
-            out.append(words)
-    return out
+    """The messages of a document as masked words. ``text`` is in the consistent form."""
+    return [words for part in _parts(text) if (words := _masked(part))]
 
 
 def leaf_of(words: list[str]) -> str:
     """The leaf that the prefix tree leads ``words`` to: their number, then the first ``DEPTH`` words."""
-    head = [ANY if any(c.isdigit() for c in w) else w for w in words[:DEPTH]]
-    return " ".join([str(len(words)), *head])
+    return " ".join([str(len(words)), *words[:DEPTH]])
 
 
 class PrefixTree:
     """Fixed-depth prefix tree of message templates; a leaf holds the templates of its length and first words."""
 
     def __init__(self) -> None:
-        self.leaves: dict[str, list[list]] = {}
-
-    def add(self, words: list[str], count: int = 1) -> None:
-        leaf = self.leaves.setdefault(leaf_of(words), [])
+        #: By leaf: templates as words and number of messages.
+        self.leaves: dict[tuple, list[list]] = {}
+
+    def add(self, words: list[str], count: int = 1) -> list:
+        """The template that ``words`` joined: its words and number of messages."""
+        size = len(words)
+        key = (size, *words[:DEPTH])
+        leaf = self.leaves.get(key)
+        if leaf is None:
+            made = [words, count]
+            self.leaves[key] = [made]
+            return made
         best, most = None, -1
         for template in leaf:
-            same = sum(a == b for a, b in zip(template[0], words))
+            same = sum(map(eq, template[0], words))
             if same > most:
                 best, most = template, same
-        if best is not None and most >= SIMILARITY * len(words):
-            if most < len(words):
+        if most >= SIMILARITY * size:
+            # Where only wildcards differ, the template stays as it is.
+            if most < size and any(a != b and a != ANY for a, b in zip(best[0], words)):
                 best[0] = [a if a == b else ANY for a, b in zip(best[0], words)]
             best[1] += count
-        else:
-            leaf.append([list(words), count])
+            return best
+        made = [words, count]
+        leaf.append(made)
+        return made
 
     def templates(self) -> Iterator[tuple[str, str, int]]:
-        for leaf, templates in self.leaves.items():
+        for templates in self.leaves.values():
             for words, count in templates:
-                yield leaf, " ".join(words), count
+                yield leaf_of(words), " ".join(words), count
+
+
+# Words of contract clauses.
+CLAUSE_WORDS = set(
+    "shall cl sec schedule breach counts tenant landlord licensee borrower supplier carrier trustee "
+    "guarantor employer contractor insurer buyer annex deadline minutes month keeps while signing designer replace "
+    "binds size means relied".split()
+)
 
 
 def verdict(template: str) -> str | None:
@@ -192,7 +215,7 @@ def verdict(template: str) -> str | None:
     if any(p in template for p in FILLER_PHRASES) or (held & {"lorem", "ipsum"}):
         if not held & FUNCTION_WORDS or len(words) <= 12 and not held & {"shall", "must", "may", "passage"}:
             return "filler"
-    if len(words) >= 4 and len(held & PSEUDO_LATIN) >= 0.6 * len(held):
+    if len(words) >= 4 and len(held & PSEUDO_LATIN) >= 0.6 * len(held) and any(len(w) > 4 for w in held & PSEUDO_LATIN):
         return "filler"
     if len(words) > LONGEST:
         return None
@@ -217,45 +240,131 @@ def verdict(template: str) -> str | None:
     return None
 
 
-# Words of contract clauses.
-CLAUSE_WORDS = set(
-    "shall cl sec schedule breach counts tenant landlord licensee borrower supplier carrier trustee "
-    "guarantor employer contractor insurer buyer annex deadline minutes month keeps while signing designer replace "
-    "binds size means relied".split()
-)
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     return spread(docs.select("doc_id", "text").where("text is not null and trim(text) <> ''"), "doc_id")
 
 
-def message_templates(docs: DataFrame) -> DataFrame:
-    """The templates of notices, errors, menus and filler of all documents: ``leaf``, ``template``, ``verdict``, ``messages``.
+def _longest_word(phrase: str) -> str:
+    return max((w for w in phrase.split() if w != ANY), key=len)
 
-    Every partition grows a prefix tree over all its messages; templates that are plain text stay there, the others
-    are merged by leaf over the whole corpus and classified once. Null and blank texts add nothing.
+
+#: A message without any of these words, or in other scripts these parts, has no verdict but that of a menu.
+_CUES = (
+    set(SCRIPT_WORDS) | set(ERROR_WORDS) | set(BROWSER_WORDS) | {w for w in PSEUDO_LATIN if len(w) > 4}
+    | {_longest_word(p) for p in (*ERROR_PHRASES, *FILLER_PHRASES)}
+)
+_CUE_PARTS = [p.replace(" ", "") for p in (*ERROR_PHRASES, *FILLER_PHRASES, *ERROR_WORDS) if not p.isascii()] + ["javascript"]
+#: First and last words of menus and of messages that stand beside another.
+_BESIDE = MENU | {ANY, "ref", "request", "code", "reload", "please", "later"}
+_SAID = ("error", "script", "filler")
+
+
+def _has_cue(words: list[str]) -> bool:
+    if not _CUES.isdisjoint(words):
+        return True
+    text = "".join(words)
+    return not text.isascii() and any(p in text for p in _CUE_PARTS)
+
+
+def says_something(words: list[str]) -> bool:
+    """Whether a message is an error, a script notice or filler by its own words."""
+    return _has_cue(words) and verdict(" ".join(words)) in _SAID
+
+
+def _judged(template: str) -> str | None:
+    """The verdict of a template; those without a cue need no look at the phrases."""
+    words = template.split(" ")
+    beside = words[0] in _BESIDE and words[-1] in _BESIDE
+    return verdict(template) if beside or _has_cue(words) else None
+
+
+_MARK, _SEP = "\x1e", "\x1f"
+
+
+#: Messages of a partition whose reading is remembered; a repeated message is counted without being read again.
+REMEMBERED = 100_000
+
+
+def _read_once(docs: DataFrame) -> DataFrame:
+    """One pass over the texts: the templates of each partition's prefix tree, and the documents that may be cases.
+
+    Rows of kind ``t`` have ``leaf``, ``template`` and ``n``; rows of kind ``d`` have ``doc_id``, ``slot`` and, where some
+    message says something, all ``messages``.
     """
 
-    def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = PrefixTree()
+        # What is known of a message that was read before: its words, its template, whether it says something.
+        known: dict[str, tuple[list[str], list | None, bool]] = {}
         for batch in batches:
-            for t in batch["text"]:
-                for words in messages(t):
-                    if len(words) <= LONGEST:
-                        tree.add(words)
-        out = [x for x in tree.templates() if verdict(x[1]) is not None]
-        yield pd.DataFrame(out, columns=["leaf", "template", "messages"])
-
-    def merge(batch: pd.DataFrame) -> pd.DataFrame:
-        tree = PrefixTree()
-        for words, count in sorted(zip(batch["template"].str.split(" "), batch["messages"])):
-            tree.add(words, int(count))
-        out = [(leaf, t, v, n) for leaf, t, n in tree.templates() if (v := verdict(t)) is not None]
-        return pd.DataFrame(out, columns=["leaf", "template", "verdict", "messages"])
+            out = []
+            for d, raw in zip(batch["doc_id"], batch["text"]):
+                text = consistent(raw)
+                said, found = False, []
+                for part in _parts(text):
+                    message = known.get(part)
+                    if message is None:
+                        words = _masked(part)
+                        template = tree.add(words) if 0 < len(words) <= LONGEST else None
+                        message = (words, template, bool(words) and says_something(words))
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[part] = message
+                    elif message[1] is not None:
+                        message[1][1] += 1
+                    if message[0]:
+                        found.append(message[0])
+                        said |= message[2]
+                slot = has_slot(text)
+                if slot or said:
+                    out.append(("d", None, None, None, d, slot, _MARK.join(_SEP.join(w) for w in found) if said else None))
+            yield pd.DataFrame(out, columns=_ONCE)
+        yield pd.DataFrame(
+            [("t", leaf, t, n, None, None, None) for leaf, t, n in tree.templates() if _judged(t) is not None], columns=_ONCE
+        )
+
+    schema = "kind string, leaf string, template string, n long, doc_id long, slot boolean, messages string"
+    return written(_rows(docs).mapInPandas(read, schema), "residue")
+
+
+_ONCE = ["kind", "leaf", "template", "n", "doc_id", "slot", "messages"]
+
 
-    local = _rows(docs).mapInPandas(mine, "leaf string, template string, messages long")
-    local = local.groupBy("leaf", "template").agg(F.sum("messages").alias("messages"))
-    return local.groupBy("leaf").applyInPandas(merge, "leaf string, template string, verdict string, messages long")
+def _templates(once: DataFrame) -> DataFrame:
+    """The templates of all partitions merged by leaf and judged once."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, at = PrefixTree(), None
+
+        def judged() -> list[tuple]:
+            return [(leaf, t, v, n) for leaf, t, n in tree.templates() if (v := verdict(t)) is not None]
+
+        for batch in batches:
+            out = []
+            for leaf, template, n in zip(batch["leaf"], batch["template"], batch["messages"]):
+                if leaf != at:
+                    out += judged()
+                    tree, at = PrefixTree(), leaf
+                tree.add(template.split(" "), int(n))
+            yield pd.DataFrame(out, columns=_TEMPLATE)
+        yield pd.DataFrame(judged(), columns=_TEMPLATE)
+
+    local = once.where("kind = 't'").groupBy("leaf", "template").agg(F.sum("n").alias("messages"))
+    # The templates of a leaf follow one another in one partition.
+    by_leaf = local.repartition("leaf").sortWithinPartitions("leaf", "template")
+    return by_leaf.mapInPandas(merge, "leaf string, template string, verdict string, messages long")
+
+
+_TEMPLATE = ["leaf", "template", "verdict", "messages"]
+
+
+def message_templates(docs: DataFrame) -> DataFrame:
+    """The templates of notices, errors, menus and filler of all documents: ``leaf``, ``template``, ``verdict``, ``messages``.
+
+    Every partition grows a prefix tree over all its messages; templates that are plain text stay there, the others
+    are merged by leaf over the whole corpus and classified once. Null and blank texts add nothing.
+    """
+    return _templates(_read_once(docs))
 
 
 def _match(leaves: dict[str, list[tuple[list[str], str]]], words: list[str]) -> str | None:
@@ -266,10 +375,8 @@ def _match(leaves: dict[str, list[tuple[list[str], str]]], words: list[str]) ->
     return None
 
 
-def _kind(slot: bool, verdicts: list[str | None]) -> str | None:
-    """The kind of a document by its slots and the verdicts of its messages."""
-    if slot:
-        return "slot"
+def _kind(verdicts: list[str | None]) -> str | None:
+    """The kind of a document without slots by the verdicts of its messages."""
     if "filler" in verdicts:
         return "filler"
     if verdicts and all(v in ("error", "script", "menu", "tail") for v in verdicts):
@@ -291,9 +398,11 @@ def template_residue(docs: DataFrame, sent_templates: int = SENT_TEMPLATES) -> D
     once; extra columns are ignored. The templates are mined over all documents and judged once; their verdicts are
     propagated by a lookup, or by a join where there are more than ``sent_templates``.
     """
-    found = written(message_templates(docs), "templates")
-    rows = _rows(docs)
-    schema = "doc_id long, kind string"
+    once = _read_once(docs)
+    found = written(_templates(once), "templates")
+    cases = once.where("kind = 'd'").select("doc_id", "slot", "messages").dropDuplicates(["doc_id"])
+    slots = cases.where("slot").select("doc_id", F.lit("slot").alias("kind"))
+    said = cases.where("not slot")
     known = found.select("leaf", "template", "verdict").limit(sent_templates + 1).collect()
     if len(known) <= sent_templates:
         leaves: dict[str, list[tuple[list[str], str]]] = {}
@@ -305,61 +414,46 @@ def template_residue(docs: DataFrame, sent_templates: int = SENT_TEMPLATES) -> D
             own = sent.value
             for batch in batches:
                 out = []
-                for d, t in zip(batch["doc_id"], batch["text"]):
-                    slot = has_slot(consistent(t))
-                    if slot:
-                        out.append((d, "slot"))
-                        continue
-                    verdicts = [
-                        _match(own, w) if len(w) <= LONGEST else verdict(" ".join(w)) for w in messages(t)
-                    ]
-                    if (kind := _kind(slot, verdicts)) is not None:
+                for d, joined in zip(batch["doc_id"], batch["messages"]):
+                    parts = [m.split(_SEP) for m in joined.split(_MARK)]
+                    verdicts = [_match(own, w) if len(w) <= LONGEST else verdict(" ".join(w)) for w in parts]
+                    if (kind := _kind(verdicts)) is not None:
                         out.append((d, kind))
                 yield pd.DataFrame(out, columns=["doc_id", "kind"])
 
-        return rows.mapInPandas(look, schema).dropDuplicates(["doc_id"])
+        return slots.unionByName(said.select("doc_id", "messages").mapInPandas(look, "doc_id long, kind string"))
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for d, t in zip(batch["doc_id"], batch["text"]):
-                slot = has_slot(consistent(t))
-                for k, w in enumerate(messages(t) or [["-"]]):
-                    long = len(w) > LONGEST
-                    out.append((d, k, slot, leaf_of(w), " ".join(w), verdict(" ".join(w)) if long else None))
-            yield pd.DataFrame(out, columns=["doc_id", "no", "slot", "leaf", "words", "own"])
+    @F.pandas_udf("struct<leaf: string, own: string>")
+    def place(words: pd.Series) -> pd.DataFrame:
+        parts = [w.split(_SEP) for w in words]
+        own = [verdict(" ".join(w)) if len(w) > LONGEST else None for w in parts]
+        return pd.DataFrame({"leaf": [leaf_of(w) for w in parts], "own": own})
 
     @F.pandas_udf("string")
-    def follow(words: pd.Series, templates: pd.Series) -> pd.Series:
+    def follow(words: pd.Series, leaf: pd.Series, templates: pd.Series) -> pd.Series:
         out = []
-        for w, held in zip(words, templates):
-            leaf = leaf_of(w.split(" "))
-            out.append(_match({leaf: [(x["template"].split(" "), x["verdict"]) for x in held]}, w.split(" ")))
+        for w, at, held in zip(words, leaf, templates):
+            out.append(_match({at: [(x["template"].split(" "), x["verdict"]) for x in held]}, w.split(_SEP)))
         return pd.Series(out, dtype=object)
 
     by_leaf = found.groupBy("leaf").agg(F.sort_array(F.collect_set(F.struct("template", "verdict"))).alias("held"))
-    said = (
-        rows.mapInPandas(parts, "doc_id long, no int, slot boolean, leaf string, words string, own string")
+    each = said.select("doc_id", F.explode(F.split("messages", _MARK)).alias("words")).withColumn("p", place("words"))
+    each = (
+        each.select("doc_id", "words", "p.leaf", "p.own")
         .join(by_leaf, "leaf", "left")
-        .withColumn("v", F.coalesce("own", follow("words", F.coalesce("held", F.array()))))
+        .withColumn("v", F.coalesce("own", follow("words", "leaf", F.coalesce("held", F.array()))))
     )
-    noted = F.col("v").isin("error", "script", "menu", "tail")
-    return (
-        said.groupBy("doc_id")
-        .agg(
-            F.max("slot").alias("slot"),
-            F.max(F.coalesce(F.col("v") == "filler", F.lit(False))).alias("filler"),
-            F.min(F.coalesce(noted, F.lit(False))).alias("whole"),
-            F.max(F.coalesce(F.col("v") == "script", F.lit(False))).alias("script"),
-            F.max(F.coalesce(F.col("v") == "error", F.lit(False))).alias("error"),
-        )
-        .select(
-            "doc_id",
-            F.when(F.col("slot"), "slot")
-            .when(F.col("filler"), "filler")
-            .when(F.col("whole") & F.col("script"), "script")
-            .when(F.col("whole") & F.col("error"), "error")
-            .alias("kind"),
-        )
-        .where("kind is not null")
+
+    def held(*kinds: str) -> Column:
+        return F.coalesce(F.col("v").isin(*kinds), F.lit(False))
+
+    judged = each.groupBy("doc_id").agg(
+        F.max(held("filler")).alias("filler"), F.min(held("error", "script", "menu", "tail")).alias("whole"),
+        F.max(held("script")).alias("script"), F.max(held("error")).alias("error"),
+    )
+    kind = (
+        F.when(F.col("filler"), "filler")
+        .when(F.col("whole") & F.col("script"), "script")
+        .when(F.col("whole") & F.col("error"), "error")
     )
+    return slots.unionByName(judged.select("doc_id", kind.alias("kind")).where("kind is not null"))
