@@ -49,7 +49,7 @@ def clean_text(text: Column) -> Column:
 
 
 def ocr_quality(text: Column) -> Column:
-    """1 for clean text down to 0, by odd characters, single characters, and digits beside letters; 0 for empty text."""
+    """1 for clean text down to 0, by odd characters, single characters, and digits beside letters; 0 for empty and null text."""
     odd = F.regexp_count(text, F.lit(rf"""[^\p{{L}}\p{{N}}_{WS}.,!?;:\-'"()]"""))
     single = F.regexp_count(text, F.lit(rf"[{WS}][\p{{L}}\p{{N}}_][{WS}]"))
     mixed = F.regexp_count(text, F.lit(r"\p{Nd}[a-zA-Z]|[a-zA-Z]\p{Nd}"))
