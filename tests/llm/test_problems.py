@@ -18,6 +18,7 @@ LONG = ("The clause on page one stays. " * 400) + "x" * 3000 + " end."
 
 def texts(spark, values, extra=True):
     rows = [(i, t, "a", "b") for i, t in enumerate(values)]
+    rows.append((None, "A row without id. {{ slot }}", None, None))
     schema = "doc_id long, text string, kind string, slot string" if extra else "doc_id long, text string"
     return spark.createDataFrame(rows if extra else [r[:2] for r in rows], schema)
 
@@ -87,6 +88,7 @@ def test_split_odd_inputs(spark):
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
+    assert by[None][0].piece_text.startswith("A row")
     assert by[0][0].piece_text is None and not by[0][0].is_oversized
     assert by[1][0].piece_text == "" and by[3][0].piece_text == "a"
     assert len(by[4]) == len(by[5]) > 20 and all(r.piece_length <= 500 for r in by[4])
@@ -249,7 +251,7 @@ def scan_tables(spark):
             rows.append((d, q + 10, f"The cost of {d} is due in 20{q}1 of the year.", q * 100, q * 100 + 90, "x"))
     for q, t in enumerate(SCAN):
         rows.append((99, q, t, q * 100, q * 100 + 99, None))
-    rows += [rows[-1], (99, 50, None, 0, 0, ""), (99, 60, "", 0, 0, ""), (None, 1, "x", 0, 0, ""), (98, 1, LONG, 0, 9, "")]
+    rows += [rows[-1], (99, 50, None, 0, 0, ""), (99, 60, "", None, None, ""), (None, 1, "x", 0, 0, ""), (98, 1, LONG, 0, 9, "")]
     return spark.createDataFrame(rows, schema), spark.createDataFrame([(1, 2, 3), (2, None, 4)], "pair_id long, doc_id1 long, doc_id2 long")
 
 
@@ -326,7 +328,7 @@ def test_packed_documents(spark):
     assert {r.doc_id for r in by.pop(None)} == {0, 1}
     assert all(sum(r.tokens for r in rs) <= 2048 for rs in by.values())
     total = sum(r.tokens for r in rows)
-    counted = packing.token_counts([r.text or "" for r in df.collect()], packing.VOCABULARY)
+    counted = packing.token_counts([r.text or "" for r in df.where("doc_id is not null").orderBy("doc_id").collect()], packing.VOCABULARY)
     assert total == sum(counted) and len({(r.doc_id, r.part) for r in rows}) == len(rows)
     assert all(counted[r.doc_id] > 2048 for r in rows if r.part > 0)
     assert len(by) <= 1.1 * (total / 2048) + 4

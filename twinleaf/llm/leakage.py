@@ -156,14 +156,14 @@ def leaked_items(
     """Every pair of a document and a test item of which it holds ``run`` or more consecutive words.
 
     Columns ``doc_id``, ``item_id``, ``run_words`` (longest run), ``score`` (best BM25 score of a passage, 1 being the
-    least score of ``run`` words). Nulls, empty texts and items of fewer words give no rows; rows sent twice and
+    least score of ``run`` words). Null ids and texts, empty texts and items of fewer words give no rows; rows sent twice and
     repeated texts give one row per pair of ids. Extra columns are ignored. Reference marks such as ``[12]`` are
     no words. Only an index of ``items_per_index`` items is sent out at once; more items are searched in blocks.
     """
     spark = docs.sparkSession
     held = items.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates(["item_id"])
     blocks = max(1, -(-held.count() // items_per_index))
-    rows = spread(docs.select("doc_id", "text").where("text is not null"), "doc_id")
+    rows = spread(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), "doc_id")
     found = None
     for k in range(blocks):
         block = held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else held

@@ -241,7 +241,7 @@ def verdict(template: str) -> str | None:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return spread(docs.select("doc_id", "text").where("text is not null and trim(text) <> ''"), "doc_id")
+    return spread(docs.select("doc_id", "text").where("doc_id is not null and text is not null and trim(text) <> ''"), "doc_id")
 
 
 def _longest_word(phrase: str) -> str:
@@ -394,7 +394,7 @@ def template_residue(docs: DataFrame, sent_templates: int = SENT_TEMPLATES) -> D
     """Documents that hold an unfilled slot or filler, or that consist of an error message or a script notice.
 
     Columns ``doc_id``, ``kind`` (``slot``, ``filler``, ``error``, ``script``; the first that applies, in this order).
-    Menu words may stand around a message. Null, empty and blank texts give no rows; a document given twice comes out
+    Menu words may stand around a message. Null, empty and blank texts and rows without id give no rows; a document given twice comes out
     once; extra columns are ignored. The templates are mined over all documents and judged once; their verdicts are
     propagated by a lookup, or by a join where there are more than ``sent_templates``.
     """

@@ -297,10 +297,10 @@ def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The sentences of every document: ``<id>``, ``sent_no``, ``text``, ``start_char``, ``end_char``.
 
     Offsets count code points of the stored text, ends are exclusive, white space around a sentence is outside.
-    Null, empty and blank texts give no rows. Repeated rows give repeated sentences for texts of up to ``chunk`` code
+    Null, empty and blank texts and rows without id give no rows. Repeated rows give repeated sentences for texts of up to ``chunk`` code
     points; longer documents are told apart by their id and text. Other columns are ignored.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t")).where("__t is not null")
+    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t")).where("__id is not null and __t is not null")
     id_type = rows.schema["__id"].dataType.simpleString()
     schema = f"__id {id_type}, sent_no int, text string, start_char int, end_char int"
 
