@@ -150,8 +150,8 @@ def reader_dispatch(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def retention_listing(spark: SparkSession, d: str) -> DataFrame:
     rows = _uploads(spark, d)
-    now = rows.agg(F.max("uploaded_at").alias("now"))
-    return expired(rows.join(F.broadcast(now)), "uploaded_at", F.col("now"), 24.0).select("doc_id", "uploaded_at")
+    now = rows.agg(F.max("uploaded_at")).first()[0]
+    return expired(rows, "uploaded_at", F.lit(now), 24.0).select("doc_id", "uploaded_at")
 
 
 # Sentences
