@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinleaf.functions.text import tokens
+from twinleaf.sources.work import written
 
 
 def term_counts(units: DataFrame) -> DataFrame:
-    """``doc_id``, ``seq``, ``token``, ``tf``: how often each word stands in each unit."""
-    words = units.select("doc_id", "seq", F.explode(tokens(F.col("text"))).alias("token"))
+    """``doc_id``, ``seq``, ``token``, ``tf``: how often each word stands in each unit.
+
+    The units are hashed by their key before their words are taken apart, so neither the counts nor the windows over a
+    unit shuffle the words.
+    """
+    words = units.select("doc_id", "seq", "text").repartition("doc_id", "seq").select("doc_id", "seq", F.explode(tokens(F.col("text"))).alias("token"))
     return words.groupBy("doc_id", "seq", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -20,28 +25,27 @@ def with_norms(terms: DataFrame) -> DataFrame:
     return terms.withColumn("norm2", F.sum(F.col("tf") * F.col("tf")).over(w))
 
 
-def _prefix(terms: DataFrame, least: float) -> DataFrame:
-    """The words of each unit, longest first, without those that cannot reach ``least`` by themselves.
+def with_prefix(terms: DataFrame, least: float) -> DataFrame:
+    """``terms`` with ``leads``: whether the word and those behind it can still reach ``least`` by themselves.
 
-    Words are in one order for all units. Two units of cosine ``least`` or more share a word of both prefixes: if their
-    first shared word lay behind one prefix, all shared words would, and those are too light.
+    Words stand longest first, in one order for all units. Two units of cosine ``least`` or more share a leading word of
+    both: if their first shared word led in one of them no more, all shared words would be behind it, and too light.
     """
     w = Window.partitionBy("doc_id", "seq").orderBy(F.desc(F.length("token")), "token")
     before = F.coalesce(F.sum(F.col("tf") * F.col("tf")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.col("norm2") - before
-    return terms.withColumn("rest", rest).where(F.col("rest") >= F.col("norm2") * F.lit(least * least - 1e-9)).drop("rest")
+    return terms.withColumn("leads", F.col("norm2") - before >= F.col("norm2") * F.lit(least * least - 1e-9))
 
 
 def similarity_edges(pairs: DataFrame, units: DataFrame, least: float) -> DataFrame:
     """Unit pairs ``i``, ``j`` of each document pair whose word counts have a cosine of ``least`` or more.
 
-    ``pairs`` has ``pair_id``, ``doc_id1``, ``doc_id2``. Exact: candidates share a word of their prefixes, and each is
+    ``pairs`` has ``pair_id``, ``doc_id1``, ``doc_id2``. Exact: candidates share a leading word, and each is
     scored over all its words with integer sums, so the result does not depend on the order of rows. Units without
     words have no edges. Columns ``pair_id``, ``i``, ``j``, ``similarity``.
     """
     used = pairs.select(F.col("doc_id1").alias("doc_id")).union(pairs.select("doc_id2")).distinct()
-    terms = with_norms(term_counts(units.join(used, "doc_id", "left_semi")))
-    first = _prefix(terms, least)
+    terms = written(with_prefix(with_norms(term_counts(units.join(used, "doc_id", "left_semi"))), least), "terms")
+    first = terms.where("leads").select("doc_id", "seq", "token")
     one = pairs.join(first, pairs["doc_id1"] == first["doc_id"]).select("pair_id", "doc_id1", "doc_id2", "token", F.col("seq").alias("i"))
     two = pairs.join(first, pairs["doc_id2"] == first["doc_id"]).select("pair_id", "token", F.col("seq").alias("j"))
     candidates = one.join(two, ["pair_id", "token"]).select("pair_id", "doc_id1", "doc_id2", "i", "j").distinct()
