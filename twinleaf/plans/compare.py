@@ -17,8 +17,8 @@ from twinleaf.sources.work import written
 class Comparison:
     """All results for ``pairs`` (``pair_id``, ``doc_id1``, ``doc_id2``) over ``units`` (``doc_id``, ``seq``, ``sent_id``, ``text``).
 
-    Pairs with a null id are left out; a pair given twice counts once. Edges and matches are written once and read by
-    everything behind them.
+    Pairs with a null id are left out; a pair given twice counts once. Edges, matches, differences and the summary are
+    written once and read by everything behind them.
     """
 
     def __init__(self, pairs: DataFrame, units: DataFrame, cfg: Settings = DEFAULTS):
@@ -83,11 +83,11 @@ class Comparison:
 
     @cached_property
     def differences(self) -> DataFrame:
-        return report.differences(self.matches, self.unmatched(1), self.unmatched(2), self.cfg)
+        return written(report.differences(self.matches, self.unmatched(1), self.unmatched(2), self.cfg), "differences")
 
     @cached_property
     def summary(self) -> DataFrame:
-        return report.summary(self.scores, self.quality, self.reorderings)
+        return written(report.summary(self.scores, self.quality, self.reorderings), "summary")
 
     @cached_property
     def verdicts(self) -> DataFrame:
