@@ -416,3 +416,23 @@ def test_residue(spark):
     assert residue.template_residue(df.limit(0)).count() == 0
     kinds = {r.verdict for r in residue.message_templates(df).collect()}
     assert {"error", "script", "filler", "menu"} <= kinds
+
+
+WRAPPED = [
+    "{{ party\n}}", "{% address\n%}", "${governing\nlaw}", "{governing\nlaw}", "<<governing\nlaw>>", "[[client\nname]]",
+    "@@client\nname@@", "[\n●]", "<CLIENT\nNAME>", "[party\nTBC]", "[enter governing \n  law here]", "[CLIENT\nNAME]", "«nom\nclient»",
+    "Haga clic\naquí para escribir nombre", "Click here\nto enter text", "Klicken Sie\nhier, um Text einzugeben", "cliquez\nici pour saisir",
+    "{{ the full name of the party that signs this agreement for\nthe company }}", "[insert the full name of the party that signs for\nthe company and its city]",
+]
+
+
+@pytest.mark.parametrize("slot", WRAPPED)
+def test_wrapped_slot(slot):
+    assert residue.has_slot(f"The schedule names\n{slot} as the\ncondition.")
+    assert residue.has_slot(f"The schedule names {slot.replace(chr(10), chr(13) + chr(10))} as the condition.")
+
+
+def test_slot_ends_with_its_paragraph():
+    for text in ("The set {{ a\n\nb }} is closed.", "See [enter\n \nlaw] here.", "Click here\n\nto enter text", "See [the\ncourt] and <a\nb>."):
+        assert not residue.has_slot(text)
+    assert residue.has_slot("The {{ party }} signs.\n\nThe rest stays.")

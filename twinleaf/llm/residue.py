@@ -30,6 +30,7 @@ LONGEST = 40
 _DIGIT = re.compile(r"\d")
 _TAGS = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?>")
 _SENTENCE = re.compile(r"[.!?。！？।]\s+|[。！？।]|\n\s*\n")
+_PARAGRAPH = re.compile(r"\n\s*\n")
 _WORD = re.compile(r"[^\W\d_]++(?!\d)(?:['’][^\W\d_]++)?|\b[0-9a-f]{6,}\b|\d++(?:[.,:/]\d++)*|[^\W\d_]+")
 
 # Stems and words by the part they play in a notice, lower case, several languages.
@@ -80,17 +81,18 @@ MENU = set(
 )
 
 _NAME = r"[^\W\d_][\w]*(?:[ ._'’-][\w]+){0,5}"
-# The shapes of unfilled slots, each behind the text that all of its kind hold.
+# The shapes of unfilled slots, each behind the text that all of its kind hold. They are searched in
+# unwrapped text, where a line break parts paragraphs; a slot has any length within its paragraph.
 SLOTS = tuple(
     (mark, re.compile(shape))
     for mark, shape in (
-        ("{{", r"\{\{[^{}\n]{1,60}\}\}"),
-        ("{%", r"\{%[^{}\n]{1,60}%\}"),
-        ("${", r"\$\{[^{}\n]{1,60}\}"),
-        ("{", rf"\{{{_NAME}\}}"),
-        ("<<", r"<<[^<>\n]{1,60}>>"),
-        ("[[", r"\[\[[^\[\]\n]{1,60}\]\]"),
-        ("@@", r"@@[\w .-]{1,60}@@"),
+        ("{{", r"\{\{[^{}\n]+\}\}"),
+        ("{%", r"\{%[^{}\n]+%\}"),
+        ("${", r"\$\{[^{}\n]+\}"),
+        ("{", rf"\{{ ?{_NAME} ?\}}"),
+        ("<<", r"<<[^<>\n]+>>"),
+        ("[[", r"\[\[[^\[\]\n]+\]\]"),
+        ("@@", r"@@[\w .-]+@@"),
         ("#", r"#[^\W\d_][A-ZÀ-ÝА-Я0-9_]{2,}#"),
         ("%", r"%[^\W\d_a-zà-ÿ][A-ZÀ-ÝА-Я0-9_]{2,}%"),
         ("__", r"(?<![\w_])__[^\W_][\w]*?[^\W_]__(?![\w_])"),
@@ -98,8 +100,8 @@ SLOTS = tuple(
         ("XXXX", r"(?<![\w-])X{4,}(?![\w-])"),
     )
 )
-_ANGLE = re.compile(r"<([A-ZÀ-ÝА-Я][A-ZÀ-ÝА-Я0-9_ ]{1,40})>")
-_SQUARE = re.compile(r"\[([^\[\]\n]{2,60})\]")
+_ANGLE = re.compile(r"<([A-ZÀ-ÝА-Я][A-ZÀ-ÝА-Я0-9_ ]+)>")
+_SQUARE = re.compile(r"\[([^\[\]\n]{2,})\]")
 _GUILLEMET = re.compile(r"[«‹]([^\W\d_][\w]*(?:[ _][\w]+){0,2})[»›]")
 _SLOT_NAMES = re.compile(
     r"date|datum|fecha|amount|betrag|montant|importe|address|anschrift|adresse|domicilio|party|parties|"
@@ -119,11 +121,22 @@ _CLICK = re.compile(
     re.I,
 )
 _CLICK_PARTS = ("to enter", "sie hier, um", "ici pour", "aquí para")
+#: A text without any of these marks and words holds no slot.
+_MARKS = ("{", "<", "[", "@@", "#", "%", "__", "XXXX", "«", "‹")
+_CLICK_WORDS = ("click", "klicken", "cliquez", "haga", "pulse")
 _HTML = set("HTML HEAD TITLE BODY DIV SPAN TABLE UL OL LI BR HR PRE FORM".split())
 
 
+def _unwrapped(text: str) -> str:
+    """``text`` with one blank for all white space within a paragraph, so that no slot is broken by the end of a line."""
+    return "\n\n".join([" ".join(p.split()) for p in _PARAGRAPH.split(text)])
+
+
 def has_slot(text: str) -> bool:
     """Whether ``text``, in the consistent form, holds an unfilled template field."""
+    if not any(mark in text for mark in _MARKS) and not any(word in text.lower() for word in _CLICK_WORDS):
+        return False
+    text = _unwrapped(text)
     if any(mark in text and shape.search(text) for mark, shape in SLOTS):
         return True
     for m in _ANGLE.finditer(text) if "<" in text else ():
