@@ -202,6 +202,21 @@ def test_neighbours_recall(spark, max_bucket, levels):
     assert all(len(v) <= 5 for v in got.values())
 
 
+def test_neighbours_recall_of_parted_cluster(spark):
+    """A third of all vectors around one centre, in groups of near copies, parted at 2 % of the rows, as in production."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=64)
+    groups = centre / np.linalg.norm(centre) + 0.45 * rng.normal(size=(250, 64)) / 8
+    hot = np.repeat(groups, 8, axis=0) + 0.4 * rng.normal(size=(2000, 64)) / 8
+    x = np.vstack([hot, clustered(4000, seed=8)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df, max_bucket=120).where("vec_id < 2000").collect():
+        got.setdefault(r.vec_id, set()).add(r.other_id)
+    true = brute_neighbours(x, 5)[:2000]
+    assert sum(len(got.get(i, set()) & t) for i, t in enumerate(true)) / (5 * 2000) >= 0.9
+
+
 def test_neighbours_copies_and_unusable(spark):
     x = clustered(40, seed=4)
     rows = [(i, v.tolist(), "z") for i, v in enumerate(x)]

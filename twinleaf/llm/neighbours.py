@@ -26,6 +26,9 @@ MAX_BUCKET = 20_000
 #: Rotations after the first, each to ``FINE`` signed axes, that part large buckets.
 LEVELS = 5
 FINE = 8
+#: Below a parted bucket, further axes asked for in each rotation, and further paths followed for each rotation.
+MORE_AXES = 2
+MORE_PATHS = 8
 SEED = 20_240_607
 #: Digits by which directions count as equal.
 EQUAL_DIGITS = 6
@@ -88,9 +91,13 @@ def _matrix(packed: pd.Series, dim: int) -> np.ndarray:
 
 
 def _keys(
-    hashing: Hashing, x: np.ndarray, table: int, hot: set[tuple], probes: int
+    hashing: Hashing, x: np.ndarray, table: int, hot: set[tuple], probes: int, home: bool = False
 ) -> list[list[tuple[float, tuple]]]:
-    """For each row the bucket keys to ask, nearest first. A key is a path of axes; it goes on below a hot path."""
+    """For each row the bucket keys to ask, nearest first. A key is a path of axes; it goes on below a hot path.
+
+    Every rotation parts some near vectors, so more is asked for below a hot path; ``home``: only the nearest matters.
+    """
+    axes, paths = (probes, 1) if home else (probes + MORE_AXES, MORE_PATHS)
     codes, loss = hashing.axes(x, table, 0, probes)
     out = [[(float(c), (table, int(a))) for a, c in zip(cs, ls)] for cs, ls in zip(codes, loss)]
     if not hot:
@@ -99,7 +106,7 @@ def _keys(
         todo = [i for i, keys in enumerate(out) if any(len(k) == level + 1 and k in hot for _, k in keys)]
         if not todo:
             break
-        codes, loss = hashing.axes(x[todo], table, level, probes)
+        codes, loss = hashing.axes(x[todo], table, level, axes)
         for row, i in enumerate(todo):
             grown = []
             for c, k in out[i]:
@@ -108,7 +115,7 @@ def _keys(
                 else:
                     grown.append((c, k))
             grown.sort()
-            out[i] = grown[: probes + level]
+            out[i] = grown[: probes + level * paths]
     return out
 
 
@@ -128,7 +135,7 @@ def _hot_paths(reps: DataFrame, hashing: Hashing, max_bucket: int) -> tuple[set[
                     continue
                 x = _matrix(batch["unit"], hashing.dim)
                 for t in range(hashing.tables):
-                    for keys in _keys(hashing, x, t, set(hot), 1):
+                    for keys in _keys(hashing, x, t, set(hot), 1, home=True):
                         k = keys[0][1]
                         if len(k) == level + 2:
                             held[k] = held.get(k, 0) + 1
@@ -240,7 +247,7 @@ def nearest(
         .groupBy("same", "other")
         .agg(F.max("similarity").alias("similarity"))
     )
-    # A vector's list of k directions; at most tables x (probes + levels) x k candidates each.
+    # A vector's list of k directions; at most tables x (probes + levels x MORE_PATHS) x k candidates each.
     by_sim = Window.partitionBy("same").orderBy(F.desc("similarity"), "other")
     lists = near.withColumn("r", F.row_number().over(by_sim)).where(F.col("r") <= k).drop("r")
 
