@@ -451,3 +451,11 @@ def test_slot_ends_with_its_paragraph():
     for text in ("The set {{ a\n\nb }} is closed.", "See [enter\n \nlaw] here.", "Click here\n\nto enter text", "See [the\ncourt] and <a\nb>."):
         assert not residue.has_slot(text)
     assert residue.has_slot("The {{ party }} signs.\n\nThe rest stays.")
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_residue_of_overlapping_templates(spark, limit):
+    # Both templates match the second text; the one without wildcards has the better verdict.
+    df = texts(spark, ["Error in page 1 2 3.", "Error in page enable javascript now."])
+    rows = residue.template_residue(df, sent_templates=limit).collect()
+    assert {r.doc_id: r.kind for r in rows} == {0: "error", 1: "script"}

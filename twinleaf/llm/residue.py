@@ -380,6 +380,11 @@ def message_templates(docs: DataFrame) -> DataFrame:
     return _templates(_read_once(docs))
 
 
+def _ordered(templates: list[tuple[str, str]]) -> list[tuple[list[str], str]]:
+    """Templates of a leaf with their verdicts in the order they are tried: those with the fewest wildcards first."""
+    return [(t.split(" "), v) for t, v in sorted(templates, key=lambda x: (x[0].count(ANY), x[0]))]
+
+
 def _match(leaves: dict[str, list[tuple[list[str], str]]], words: list[str]) -> str | None:
     """The verdict of the template that ``words`` follow."""
     for template, v in leaves.get(leaf_of(words), ()):
@@ -418,10 +423,10 @@ def template_residue(docs: DataFrame, sent_templates: int = SENT_TEMPLATES) -> D
     said = cases.where("not slot")
     known = found.select("leaf", "template", "verdict").limit(sent_templates + 1).collect()
     if len(known) <= sent_templates:
-        leaves: dict[str, list[tuple[list[str], str]]] = {}
-        for r in sorted(known, key=lambda r: (r.leaf, r.template.count(ANY), r.template)):
-            leaves.setdefault(r.leaf, []).append((r.template.split(" "), r.verdict))
-        sent = docs.sparkSession.sparkContext.broadcast(leaves)
+        leaves: dict[str, list[tuple[str, str]]] = {}
+        for r in known:
+            leaves.setdefault(r.leaf, []).append((r.template, r.verdict))
+        sent = docs.sparkSession.sparkContext.broadcast({leaf: _ordered(held) for leaf, held in leaves.items()})
 
         def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = sent.value
@@ -446,10 +451,10 @@ def template_residue(docs: DataFrame, sent_templates: int = SENT_TEMPLATES) -> D
     def follow(words: pd.Series, leaf: pd.Series, templates: pd.Series) -> pd.Series:
         out = []
         for w, at, held in zip(words, leaf, templates):
-            out.append(_match({at: [(x["template"].split(" "), x["verdict"]) for x in held]}, w.split(_SEP)))
+            out.append(_match({at: _ordered([(x["template"], x["verdict"]) for x in held])}, w.split(_SEP)))
         return pd.Series(out, dtype=object)
 
-    by_leaf = found.groupBy("leaf").agg(F.sort_array(F.collect_set(F.struct("template", "verdict"))).alias("held"))
+    by_leaf = found.groupBy("leaf").agg(F.collect_set(F.struct("template", "verdict")).alias("held"))
     each = said.select("doc_id", F.explode(F.split("messages", _MARK)).alias("words")).withColumn("p", place("words"))
     each = (
         each.select("doc_id", "words", "p.leaf", "p.own")
