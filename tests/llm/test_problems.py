@@ -459,3 +459,12 @@ def test_residue_of_overlapping_templates(spark, limit):
     df = texts(spark, ["Error in page 1 2 3.", "Error in page enable javascript now."])
     rows = residue.template_residue(df, sent_templates=limit).collect()
     assert {r.doc_id: r.kind for r in rows} == {0: "error", 1: "script"}
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_residue_keeps_own_verdict(spark, limit):
+    # In every partition the message joins sentences that differ from it in the word it is judged by.
+    ends = "amended assigned divided let sold valued insured leased moved shared split taxed".split()
+    df = texts(spark, ["The file here could not be opened.", *[f"The file here could not be {w}." for w in ends * 4]])
+    rows = residue.template_residue(df, sent_templates=limit).collect()
+    assert {r.doc_id: r.kind for r in rows} == {0: "error"}

@@ -414,7 +414,8 @@ def template_residue(docs: DataFrame, sent_templates: int = SENT_TEMPLATES) -> D
     Columns ``doc_id``, ``kind`` (``slot``, ``filler``, ``error``, ``script``; the first that applies, in this order).
     Menu words may stand around a message. Null, empty and blank texts and rows without id give no rows; a document given twice comes out
     once; extra columns are ignored. The templates are mined over all documents and judged once; their verdicts are
-    propagated by a lookup, or by a join where there are more than ``sent_templates``.
+    propagated by a lookup, or by a join where there are more than ``sent_templates``. A message whose template has no
+    verdict keeps its own.
     """
     once = _read_once(docs)
     found = written(_templates(once), "templates")
@@ -434,7 +435,8 @@ def template_residue(docs: DataFrame, sent_templates: int = SENT_TEMPLATES) -> D
                 out = []
                 for d, joined in zip(batch["doc_id"], batch["messages"]):
                     parts = [m.split(_SEP) for m in joined.split(_MARK)]
-                    verdicts = [_match(own, w) if len(w) <= LONGEST else verdict(" ".join(w)) for w in parts]
+                    # A template that ordinary sentences joined may have lost the words that a message is judged by.
+                    verdicts = [_match(own, w) or verdict(" ".join(w)) for w in parts]
                     if (kind := _kind(verdicts)) is not None:
                         out.append((d, kind))
                 yield pd.DataFrame(out, columns=["doc_id", "kind"])
@@ -444,8 +446,8 @@ def template_residue(docs: DataFrame, sent_templates: int = SENT_TEMPLATES) -> D
     @F.pandas_udf("struct<leaf: string, own: string>")
     def place(words: pd.Series) -> pd.DataFrame:
         parts = [w.split(_SEP) for w in words]
-        own = [verdict(" ".join(w)) if len(w) > LONGEST else None for w in parts]
-        return pd.DataFrame({"leaf": [leaf_of(w) for w in parts], "own": own})
+        own = [verdict(" ".join(w)) for w in parts]
+        return pd.DataFrame({"leaf": [leaf_of(w) for w in parts], "own": pd.Series(own, dtype=object)})
 
     @F.pandas_udf("string")
     def follow(words: pd.Series, leaf: pd.Series, templates: pd.Series) -> pd.Series:
@@ -459,7 +461,7 @@ def template_residue(docs: DataFrame, sent_templates: int = SENT_TEMPLATES) -> D
     each = (
         each.select("doc_id", "words", "p.leaf", "p.own")
         .join(by_leaf, "leaf", "left")
-        .withColumn("v", F.coalesce("own", follow("words", "leaf", F.coalesce("held", F.array()))))
+        .withColumn("v", F.coalesce(follow("words", "leaf", F.coalesce("held", F.array())), "own"))
     )
 
     def held(*kinds: str) -> Column:
