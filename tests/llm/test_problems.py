@@ -288,6 +288,14 @@ def test_scan_repair(spark):
     assert scans.noise_found(units.limit(0), pairs).count() == 0
 
 
+def test_scan_candidate_of_its_neighbours():
+    # Eight more usual words stand before the one that only the word before it favours.
+    usual = dict.fromkeys("ebcbcb chcbcb cbebcb cbchcb cbcbeb ehcbcb ebebcb ebchcb".split(), 1000)
+    channel = scans.Channel(1_000_000, usual | {"pay": 10, "cbcbch": 10}, {"pay cbcbch": 10})
+    assert {w for w, _ in channel.candidates("cbcbcb", "pay")} == {"cbcbcb", "cbcbch", *usual}
+    assert channel.decode(["pay", "cbcbcb"]) == [None, "cbcbch"]
+
+
 # 6
 
 
