@@ -182,7 +182,8 @@ def test_compare_documents(spark):
     assert r[1]["recommendations"] == ["Documents match very closely. No significant issues detected."] and r[1]["differences"] == []
     names = spark.createDataFrame([(5, "a<1>.txt", "b.txt")], "pair_id long, file1_name string, file2_name string")
     page = {x.pair_id: x.html for x in report_html(c.report(), names).collect()}[5]
-    assert "a&lt;1&gt;.txt" in page and "&lt;b&gt;Other" in page and "Missing In Doc2" in page and "N/A" in page and "0.0%" in page
+    assert "a&lt;1&gt;.txt" in page and "&lt;b&gt;Other" in page and "Missing In Doc2" in page and "Missing in Document 1" in page and "0.0%" in page
+    assert "0 of 3 sentences matched" in page and page.count("<tr>") == 5 and "No sentence has moved." in page
 
 
 def word_file(*lines):

@@ -17,7 +17,8 @@ EDGES = rf"^[{WS}]+|[{WS}]+$"
 WORD = r"[\p{L}\p{N}_]+"
 ENDS = " .,!?;:"
 
-# Character pairs that recognizers take for one another, in the order in which they are reported.
+# Fixed values, compared output: character pairs that recognizers take for one another in the order in which they are
+# reported, classes, severities, verdicts and suggestion texts.
 OCR_PAIRS = (("l", "1"), ("O", "0"), ("S", "5"), ("I", "1"), ("Z", "2"), ("B", "8"))
 CLASSES = ("exact_match", "minor_difference", "rewording", "significant")
 SEVERITIES = {"exact_match": "none", "minor_difference": "low", "rewording": "medium", "significant": "high"}

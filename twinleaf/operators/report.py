@@ -108,6 +108,7 @@ def recommendations(summaries: DataFrame, rows: DataFrame) -> DataFrame:
     def number(c: str) -> object:
         return F.col(c).cast("string")
 
+    # Fixed values, compared output: the texts of the advice.
     rules = [
         (F.col("ocr") > 3, F.lit("Multiple potential OCR errors detected. Consider rescanning document with higher quality settings.")),
         (
