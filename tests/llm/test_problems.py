@@ -158,11 +158,20 @@ def test_consistent_form(text):
 
 def test_consistent_pairs():
     same = [("ｔｈｅ", "the"), ("café", "café"), ("a b", "a b"), ("ѕeа", "sea"), ("ѐ", "è"), ("o­k​", "ok")]
+    same += [("𝐚𝑏", "ab"), ("ᴏk", "ok"), ("ᎪꓐⲞ", "ABO"), ("ﬁle", "file"), ("Ⅳ", "IV"), ("⼀", "一"), ("ﺍ", "ا")]
     assert all(normalizing.consistent(a) == normalizing.consistent(b) for a, b in same)
-    other = [("m²", "m2"), ("A", "a"), ("é", "e"), ("a.", "a!"), ("٣", "3"), ("“a”", '"a"')]
+    other = [("α-particle", "a-particle"), ("κ", "k"), ("①", "1"), ("…", "..."), ("Ω", "O"), ("m²", "m2"), ("A", "a"), ("é", "e"), ("a.", "a!"), ("٣", "3"), ("“a”", '"a"')]
     assert all(normalizing.consistent(a) != normalizing.consistent(b) for a, b in other)
 
 
+def test_quick_check_finds_all_that_changes():
+    """Every assigned character that combines or changes when composed is looked at."""
+    for p in range(0x80, 0x10000):
+        c = chr(p)
+        if not 0xD800 <= p < 0xE000 and (unicodedata.combining(c) or not unicodedata.is_normalized("NFC", c)):
+            assert normalizing._RUN.match(c), hex(p)
+
+
 def test_matches_odd_inputs(spark):
     schema = "match_id long, sent1 struct<text:string>, sent2 struct<text:string>, exact_match boolean, normalized_match boolean, text1 string"
     rows = [(1, (None,), ("a",), False, False, "x"), (2, ("",), ("",), True, True, None), (3, ("А",), ("A",), False, None, "")]

@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-import re
-
-from twinleaf.llm import normalizing as nz
-
 
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# The same print by code point, stated apart from the operator's own tables.
+_FROM = (
+    "АВЕІЈКМНОРСЅТУХҮԚԜԀӀасԁеһіјӏорԛѕѵԝхуүΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿονϲϳιρ"
+    "ЀЁЇѐёїΪΫϊόίΌΊΆΈΉΎ"
+    "‐‑﹣‧"
+)
+_TO = (
+    "ABEIJKMHOPCSTYXYQWDIacdehijlopqsvwxyyABEZHIKMNOPTYXCJovcjip"
+    "ÈËÏèëïÏŸïóíÓÍÁÉÍÝ"
+    "---·"
+)
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_BLANK = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st"}
+_GONE = r"[\x{ad}\x{34f}\x{61c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{fe00}-\x{fe0f}\x{feff}]"
+
+
 def consistent(x: str) -> str:
     """The consistent form, letter by letter: look-alikes, widths and blanks replaced, invisible characters removed."""
-    import unicodedata
-
-    table = {k: v for k, v in nz.LOOK_ALIKES.items() if len(v) == 1}
-    for c in nz._MARKED:
-        d = unicodedata.normalize("NFD", c)
-        table[c] = unicodedata.normalize("NFC", nz.LOOK_ALIKES[d[0]] + d[1:])
-    table = {k: v for k, v in table.items() if len(v) == 1}
-    table |= {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}
-    blanks = (c for c in map(chr, range(0x80, 0x3001)) if re.fullmatch(f"[{nz.BLANKS}]", c))
-    table |= dict.fromkeys(blanks, " ")
-    out = f"translate({x}, {q(''.join(table))}, {q(''.join(table.values()))})"
-    for k, v in nz.LOOK_ALIKES.items():
-        if len(v) > 1:
-            out = f"replace({out}, {q(k)}, {q(v)})"
-    gone = r"[\x{ad}\x{34f}\x{61c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{fe00}-\x{fe0f}\x{feff}]"
-    return f"nfc_normalize(regexp_replace({out}, {q(gone)}, '', 'g'))"
+    before = _FROM + _WIDE + _BLANK
+    after = _TO + "".join(map(chr, range(0x21, 0x7F))) + " " * len(_BLANK)
+    out = f"translate(nfc_normalize({x}), {q(before)}, {q(after)})"
+    for k, v in _LIGATURES.items():
+        out = f"replace({out}, {q(k)}, {q(v)})"
+    return f"nfc_normalize(regexp_replace({out}, {q(_GONE)}, '', 'g'))"
 
 
 def words(x: str) -> str:
