@@ -397,25 +397,79 @@ def test_leakage_against_brute_force(spark):
         expected |= {(d, i) for d, s in enumerate(squeezed) if any(r in s for r in runs)}
     df = texts(spark, docs)
     table = spark.createDataFrame([(*x, "en") for x in items] + [(90, None, ""), (91, "few words", ""), (None, "x", ""), (*items[0], "en")], "item_id long, text string, doc_id string")
-    for block in (1000, 7):
-        got = {(r.doc_id, r.item_id) for r in leakage.leaked_items(df, table, items_per_index=block).collect()}
+    for shard, chars in ((leakage.SHARD, leakage.TASK_CHARS), (900, 20_000)):
+        got = {(r.doc_id, r.item_id) for r in leakage.leaked_items(df, table, shard=shard, task_chars=chars).collect()}
         assert got == expected and expected
     assert leakage.leaked_items(texts(spark, ODD), table).count() == 0
     assert leakage.leaked_items(df.limit(0), table).count() == 0 and leakage.leaked_items(df, table.limit(0)).count() == 0
 
 
-def test_leakage_skips_nothing():
-    index = leakage.ItemIndex([(k, item_text(k)) for k in range(40)])
+def index_of(items, run=12):
+    own = [leakage.Item(t, run) for _, t in items]
+    df = {}
+    for x in own:
+        for t in np.unique(x.sure).view(np.int64).tolist():
+            df[t] = df.get(t, 0) + 1
+    average = sum(len(x.words) for x in own) / len(own)
+    made = list(leakage.weights(own, [df] * len(own), len(own), average))
+    return leakage.ItemIndex([i for i, _ in items], [x.words for x in own], [t for t, _ in made], [w for _, w in made], run)
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 1.0])
+def test_leakage_skips_nothing(threshold):
+    """The cursors give all items, with their scores, that a sum over all postings gives."""
+    index = index_of([(k, item_text(k % 150)) for k in range(300)])
+    texts = ["".join(item_text(k).split()[:20] + item_text(500 + k).split()[:30]) for k in range(60)]
+    text, _, hashes = leakage.terms_of(texts)
+    exact, named = {}, set()
+    for t, h in zip(text.tolist(), hashes.tolist()):
+        k = int(np.searchsorted(index.term, np.uint64(h)))
+        if k < len(index.term) and index.term[k] == h and (t, k) not in named:
+            named.add((t, k))
+            for p in range(index.start[k], index.stop[k]):
+                pair = t, int(index.item[p])
+                exact[pair] = exact.get(pair, 0.0) + index.weight[p]
+    passage, term = (np.array(x) for x in zip(*sorted(named)))
+    found = {(int(a), int(b)): s for a, b, s in zip(*index.candidates(passage, term, threshold))}
+    assert set(found) == {p for p, x in exact.items() if x >= threshold} and found
+    assert all(found[p] == pytest.approx(exact[p]) for p in found)
+
+
+def test_leakage_run_scores_one():
+    index = index_of([(k, item_text(k)) for k in range(80)])
     rng = random.Random(9)
-    for _ in range(60):
-        passage = item_text(rng.randrange(40)).split()[:20] + item_text(500 + rng.randrange(9)).split()[:30]
-        exact = {}
-        for w in set(passage):
-            if w in index.terms:
-                for d, x in zip(index.terms[w][3], index.terms[w][4]):
-                    exact[d] = exact.get(d, 0.0) + x
-        found = dict(index.candidates(passage, 0.75))
-        assert set(found) == {d for d, x in exact.items() if x >= 0.75}
+    for _ in range(200):
+        k, a = rng.randrange(80), rng.randrange(48)
+        text = "".join(item_text(900 + k).split()[: rng.randrange(20)] + item_text(k).split()[a : a + 12] + ["end"] * rng.randrange(9))
+        assert k in {i for _, i, _, _ in index.search([text])}
+
+
+def test_leakage_cost_does_not_grow_with_unrelated_items():
+    rng = random.Random(4)
+
+    def odd():
+        return " ".join("".join(rng.choice("bcdfghjk") for _ in range(rng.randint(3, 9))) for _ in range(60))
+
+    items = [(k, item_text(k)) for k in range(240)]
+    texts = ["".join(item_text(5000 + k).split()) * 4 for k in range(300)]
+    few, many = index_of(items), index_of(items + [(1000 + k, odd()) for k in range(5000)])
+    assert sorted(few.search(texts)) == sorted(many.search(texts))
+    steps = []
+    for index in (few, many):
+        calls = []
+        seek = index._seek
+        index._seek = lambda *x, seek=seek, calls=calls: calls.append(x[0].size) or seek(*x)
+        list(index.search(texts))
+        steps.append(sum(calls))
+    assert steps[1] <= 2 * steps[0] + 1000
+
+
+def test_leakage_of_scripts_without_blanks(spark):
+    han = "甲方应当在收到通知之日起十五日内向乙方支付全部剩余款项并承担由此产生的利息费用及违约责任同时提交书面说明材料一式三份"
+    rows = [(1, "前言。" + han + "。后记。"), (2, "前言。" + han[3:31] + "。"), (3, "前言。" + han[:20] + "。"), (4, "Something else.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, han), (8, "ข้อความภาษาไทยที่ยาวพอสมควรสำหรับการทดสอบระบบค้นหา")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaked_items(docs, items).collect()} == {(1, 7), (2, 7)}
 
 
 # 8
