@@ -496,9 +496,8 @@ TRAPS = [
 def test_residue(spark):
     df = texts(spark, [*CASES, *TRAPS, *ODD])
     expected = dict(enumerate(CASES.values()))
-    for limit in (50_000, 0):
-        rows = residue.template_residue(df.unionByName(df.limit(4)), sent_templates=limit).collect()
-        assert {r.doc_id: r.kind for r in rows} == expected and len(rows) == len(expected)
+    rows = residue.template_residue(df.unionByName(df.limit(4))).collect()
+    assert {r.doc_id: r.kind for r in rows} == expected and len(rows) == len(expected)
     assert residue.template_residue(df.limit(0)).count() == 0
     kinds = {r.verdict for r in residue.message_templates(df).collect()}
     assert {"error", "script", "filler", "menu"} <= kinds
@@ -524,18 +523,47 @@ def test_slot_ends_with_its_paragraph():
     assert residue.has_slot("The {{ party }} signs.\n\nThe rest stays.")
 
 
-@pytest.mark.parametrize("limit", [50_000, 0])
-def test_residue_of_overlapping_templates(spark, limit):
-    # Both templates match the second text; the one without wildcards has the better verdict.
-    df = texts(spark, ["Error in page 1 2 3.", "Error in page enable javascript now."])
-    rows = residue.template_residue(df, sent_templates=limit).collect()
-    assert {r.doc_id: r.kind for r in rows} == {0: "error", 1: "script"}
+UNSEEN = {
+    "Oops! That page has wandered off.": "error", "Page non trouvée.": "error", "Pagina non trovata": "error", "You have been blocked.": "error",
+    "Please wait while we verify you are human.": "error", "Dear [First Name],": "slot", "Hello *|FNAME|*": "slot",
+    "TypeError: cannot read the record\n\nHome · Help": "error", "Warning 17: the server could not be reached.": "error",
+    "Your browser is too old. Update your browser to continue.": "script", "Scripts are disabled. Enable scripts and reload.": "script",
+}
+ORDINARY = ["The court found no error.", "The exception applies.", "The error in the account was corrected by the trustee.", "The tenant denied access."]
+
 
+def test_residue_unseen(spark):
+    rows = residue.template_residue(texts(spark, [*UNSEEN, *ORDINARY])).collect()
+    assert {r.doc_id: r.kind for r in rows} == dict(enumerate(UNSEEN.values()))
 
-@pytest.mark.parametrize("limit", [50_000, 0])
-def test_residue_keeps_own_verdict(spark, limit):
-    # In every partition the message joins sentences that differ from it in the word it is judged by.
+
+def test_message_and_template_have_one_verdict():
+    """Joining a template never changes what a message is."""
+    rng = random.Random(5)
+    stock = "the page file could not be opened error javascript please enable found lorem ipsum tenant shall rent reload home help court".split()
+    tree, read = residue.PrefixTree(), []
+    for _ in range(4000):
+        words = [rng.choice(stock) if rng.random() < 0.9 else f"word{chr(97 + rng.randrange(26))}" for _ in range(rng.randint(1, 9))]
+        read.append((list(words), tree.add(list(words))))
+    assert any(residue.OTHER in t[0] for _, t in read)
+    assert all(residue.verdict(" ".join(w)) == residue.verdict(" ".join(t[0])) for w, t in read)
+
+
+def test_residue_learns_from_the_corpus(spark):
+    rng = random.Random(2)
+    odd = "vadel quilat tupor nisipe dolem ferat rebum".split()
+    filler = [" ".join(["lorem", *rng.sample(odd, 4)]) + "." for _ in range(30)]
+    alone = " ".join(odd[:5]) + "."
+    page = "The vault stays shut today. Error 17 of the page."
+    df = texts(spark, ["The rent is due. " + alone, *filler, *[page] * 4, "The rent is due on Monday. The deposit is paid."])
+    kinds = {r.doc_id: r.kind for r in residue.template_residue(df).collect()}
+    assert kinds[0] == "filler" and all(kinds[k] == "filler" for k in range(1, 31))
+    assert [kinds.get(k) for k in range(31, 36)] == ["error"] * 4 + [None]
+
+
+def test_residue_tells_sentences_from_their_like(spark):
+    # In every partition the message stands beside sentences that differ from it in one word.
     ends = "amended assigned divided let sold valued insured leased moved shared split taxed".split()
     df = texts(spark, ["The file here could not be opened.", *[f"The file here could not be {w}." for w in ends * 4]])
-    rows = residue.template_residue(df, sent_templates=limit).collect()
-    assert {r.doc_id: r.kind for r in rows} == {0: "error"}
+    rows = residue.template_residue(df).collect()
+    assert {r.doc_id: r.kind for r in rows if r.doc_id == 0} == {0: "error"} and len(rows) <= 5

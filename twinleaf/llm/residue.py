@@ -1,31 +1,42 @@
 """Problem 8: template residue, filler, error messages and script notices.
 
 Message templates are mined with a fixed-depth prefix tree: messages are masked, led by their length and first words
-to a leaf, and joined there to the template they agree with. Each partition grows its own tree; the leaves of all
-trees are then merged by key. Every template is classified once and the verdict is carried back to its messages.
-Unfilled slots inside ordinary records are found apart, by the shapes of slots.
+to a leaf, and joined there to the template they agree with. Every message of every document enters the tree of its
+partition; the documents keep the numbers of their templates. Equal templates of all trees are one, and each is
+classified once: by the vocabulary of notices it is made of, by how its words stand, by the words that only stand in
+filler throughout the corpus, and by the documents it occurs in. The verdicts are joined back to the documents.
+Unfilled slots inside ordinary records are found apart, by the grammar of slots.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from operator import eq
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinleaf.llm.normalizing import consistent
 from twinleaf.sources.tables import spread
 from twinleaf.sources.work import written
 
-ANY = "<*>"
+ANY, OTHER = "<*>", "<?>"
 DEPTH = 3
 #: Least share of equal positions for a message to join a template of its leaf.
 SIMILARITY = 0.6
-#: Messages of more words are ordinary text; no notice or error message is that long.
-LONGEST = 40
+#: Templates of one tree; beyond, its templates are handed over and a new tree begins.
+TREE_SIZE = 200_000
+#: Messages of a partition whose template is remembered; a repeated message is counted without being read again.
+REMEMBERED = 100_000
+#: Share of a notice's words that must be exceeded by those that notices are made of.
+COVERED = 0.75
+#: Share of a word's messages that are filler from which the word is one of filler, and least number of such messages.
+FILLER_SHARE, FILLER_LEAST = 0.1, 5
+#: Documents of a template, nearly all of them otherwise notices, from which it counts as part of the notice.
+BESIDE_LEAST, BESIDE_SHARE = 3, 0.9
 
 _DIGIT = re.compile(r"\d")
 _TAGS = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?>")
@@ -33,34 +44,57 @@ _SENTENCE = re.compile(r"[.!?。！？।]\s+|[。！？।]|\n\s*\n")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _WORD = re.compile(r"[^\W\d_]++(?!\d)(?:['’][^\W\d_]++)?|\b[0-9a-f]{6,}\b|\d++(?:[.,:/]\d++)*|[^\W\d_]+")
 
-# Stems and words by the part they play in a notice, lower case, several languages.
-SCRIPT_WORDS = ("javascript", "script", "scripts", "cookies", "ecmascript")
-SCRIPT_ACTS = (
-    "enable enabled activate active activer activez aktivieren einschalten turn allow allowed required need needs "
-    "switched disabled off support supported depends habilite habilitar active activar attiva ative включите "
-    "включить 有効 启用 請啟用 请启用 تفعيل सक्षम เปิดใช้งาน"
-).split()
-BROWSER_WORDS = "browser navigateur navegador brauser viewer page reload neu браузер ブラウザ 浏览器 متصفح ब्राउज़र เบราว์เซอร์".split()
-ERROR_WORDS = (
-    "error erreur fehler ошибка エラー 错误 خطأ त्रुटि ข้อผิดพลาด traceback exception valueerror typeerror keyerror gone "
-    "forbidden unauthorized unavailable"
-).split()
-ERROR_PHRASES = (
-    "not found", "access denied", "went wrong", "try again later", "could not be delivered", "could not be opened",
-    "did not answer", "timed out", "time out", "session has expired", "link has expired", "removed by its owner",
-    "too many requests", "no right to view", "sign in again", "service unavailable", "bad gateway", "gateway code",
-    "internal server error", "request id", "page buffer", "wait <*> seconds", "cannot be shown",
-    "wurde nicht gefunden", "nicht verfügbar", "plus disponible", "introuvable", "no se pudo abrir",
-    "no se encontró", "no encontrada", "не найдена", "недоступ", "見つかりません", "找不到", "无法", "غير موجود",
-    "नहीं मिला", "ไม่พบ",
-)
-#: Words of an error message that only stands beside another one.
-ERROR_TAILS = ("ref <*>", "request <*>", "code <*>", "request id <*>", "reload", "please try again later")
+# Words by the part they play in a notice, lower case, several languages.
+SCRIPT_WORDS = set("javascript script scripts cookies ecmascript".split())
+ERROR_NOUNS = set("error erreur fehler errore erro ошибка traceback exception warning".split())
+#: Words before an error noun that make it the name of an error.
+ERROR_KINDS = set("internal server fatal unknown unexpected runtime application system network http critical database unhandled uncaught".split())
+STATUS = set("http not found gone forbidden unauthorized service unavailable bad gateway request timeout internal server error too many requests".split())
+THINGS = set(
+    "page site website server link file document record session request access service account connection resource url "
+    "address content article item viewer application gateway host right permission "
+    "seite datei dokument sitzung zugriff dienst adresse document fichier lien serveur accès service "
+    "página pagina sitio archivo documento enlace sesión servidor acceso pagina sito collegamento sessione accesso "
+    "страница документ файл сервер доступ ссылка сессия you we i something".split()
+)
+STATES = set(
+    "denied expired blocked removed deleted moved missing unavailable failed wrong cannot could couldn't can't unable not "
+    "no off gone lost wandered exist exists unreachable invalid broken down restricted refused limited "
+    "nicht gefunden verfügbar abgelaufen verweigert gesperrt non trouvée trouvé introuvable disponible plus expiré refusé "
+    "encontrada encontrado encontró pudo caducado denegado bloqueado trovata trovato scaduta negato "
+    "не найдена найден недоступен недоступна запрещён истекла".split()
+)
+PLEAS = set("sorry oops whoops oh désolé désolés entschuldigung hoppla lo sentimos spiacenti human robot captcha извините".split())
+ACTS = set(
+    "enable enabled activate active activer activez aktivieren sie einschalten turn switch switched allow allowed required need needs "
+    "disabled on support supported depends habilite habilitar activar attiva attivare ative reload refresh retry try again later wait "
+    "while verify verifying check checking sign log login back return contact report view read open opens opened opening show shown "
+    "display displayed load loaded loading deliver delivered answer respond responded asked requested requesting looking went "
+    "continue proceed complete update upgrade outdated old unsupported seconds minutes moment time id ref code error step empty buffer extract failed please owner "
+    "veuillez merci afficher voir lire recharger bitte um anzuzeigen anzeigen angeforderte wurde laden später erneut versuchen "
+    "para ver este abrir leer favor intente nuevo más tarde recargue per visualizzare ricarica "
+    "включите включить обновите browser browsers navigateur navegador brauser neu браузер".split()
+) | SCRIPT_WORDS | ERROR_NOUNS | ERROR_KINDS | STATUS | THINGS | STATES | PLEAS
+#: Words that any running text of its language holds.
+FUNCTION_WORDS = set(
+    "the of and to in is that for with be by from a an it its this these those has have had been was were are at as or but if "
+    "your our us my me they them who which will may can before after again too many him she he does did do must "
+    "der die das und von den zu mit ist ein eine einer dem des auf im für ihr ihre ihren es wir "
+    "le la les des du et que pour dans une un est par ce cette ces votre nous vous il elle n'est s'est l'a à au avec sur "
+    "el los las y por con del una en su se al lo esta esta ha sido il lo gli e di che un una è stata "
+    "и в на с по для что это к от".split()
+)
+#: Marks of running prose that filler never holds.
+_PROSE = set("the of and to in is that for with shall be by from may not der die und von den zu mit ist nicht ein eine le la les des du et que pour dans une un est par el los las y por con del una su se".split())
+# Parts of notices in scripts that don't part words.
+SCRIPT_PARTS = "有効 启用 啟用 請啟用 请启用 تفعيل सक्षम เปิดใช้งาน".split()
+ERROR_PARTS = "エラー 错误 خطأ त्रुटि ข้อผิดพลาด 見つかりません 找不到 无法 غير موجود नहीं मिला ไม่พบ".replace("غير موجود", "موجود").replace("नहीं मिला", "मिला").split()
+FILLER_PARTS = "ダミーテキスト 示例文本 占位".split()
 FILLER_PHRASES = (
     "lorem ipsum", "dolor sit amet", "dummy copy", "dummy text", "sample text", "placeholder text", "filler text",
-    "text goes here", "your text here", "only here to fill", "to fill the page", "asdf asdf", "blindtext",
+    "text goes here", "your text here", "text will appear", "only here to fill", "to fill the page", "asdf asdf", "blindtext",
     "texte de remplissage", "faux texte", "texto de ejemplo", "texto de relleno", "texto simulado", "testo segnaposto",
-    "aaa bbb ccc", "text text text", "blah blah", "foo bar baz", "текст рыба", "ダミーテキスト", "示例文本", "占位",
+    "blah blah", "foo bar baz", "текст рыба",
 )
 # Words of pseudo-Latin filler.
 PSEUDO_LATIN = set(
@@ -69,16 +103,14 @@ PSEUDO_LATIN = set(
     "reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident "
     "sunt culpa officia deserunt mollit anim est laborum".split()
 )
-#: Words that every running text of its language holds; pseudo-Latin filler holds none.
-FUNCTION_WORDS = set(
-    "the of and to in is that for with shall be by from may not der die das und von den zu mit ist nicht ein eine "
-    "le la les des du et que pour dans une un est par el los las y por para con del una en su se".split()
-)
 MENU = set(
     "home help contact search imprint terms sign in my files login log out menu about privacy sitemap faq account "
     "accueil aide rechercher recherche mentions légales connexion startseite hilfe kontakt suche impressum agb "
     "anmelden inicio ayuda contacto buscar aviso legal acceder cookies".split()
 )
+_FILLER_WORDS = {w for p in FILLER_PHRASES for w in p.split()} | set("clause paragraph box text noch ersetzen bitte your this".split())
+#: Words that a template keeps, since verdicts are made of them: so a message and its template have one verdict.
+KEPT = ACTS | FUNCTION_WORDS | _PROSE | PSEUDO_LATIN | MENU | _FILLER_WORDS | {ANY}
 
 _NAME = r"[^\W\d_][\w]*(?:[ ._'’-][\w]+){0,5}"
 # The shapes of unfilled slots, each behind the text that all of its kind hold. They are searched in
@@ -89,6 +121,8 @@ SLOTS = tuple(
         ("{{", r"\{\{[^{}\n]+\}\}"),
         ("{%", r"\{%[^{}\n]+%\}"),
         ("${", r"\$\{[^{}\n]+\}"),
+        ("<%", r"<%[^<>\n]+%>"),
+        ("*|", r"\*\|[^|*\n]+\|\*"),
         ("{", rf"\{{ ?{_NAME} ?\}}"),
         ("<<", r"<<[^<>\n]+>>"),
         ("[[", r"\[\[[^\[\]\n]+\]\]"),
@@ -122,7 +156,14 @@ _CLICK = re.compile(
 )
 _CLICK_PARTS = ("to enter", "sie hier, um", "ici pour", "aquí para")
 #: A text without any of these marks and words holds no slot.
-_MARKS = ("{", "<", "[", "@@", "#", "%", "__", "XXXX", "«", "‹")
+_MARKS = ("{", "<", "[", "@@", "#", "%", "__", "XXXX", "«", "‹", "*|")
+# Words of which the name of a field is made, none of them by itself a remark in running text.
+_FIELD = set(
+    "name first last full middle family given your company client customer recipient sender date address city street country "
+    "email e-mail phone telephone number amount title signature position of the vorname nachname firma datum anschrift "
+    "nom prénom société adresse nombre apellido empresa fecha".split()
+)
+_FIELD_LINKS = {"of", "the", "your"}
 _CLICK_WORDS = ("click", "klicken", "cliquez", "haga", "pulse")
 _HTML = set("HTML HEAD TITLE BODY DIV SPAN TABLE UL OL LI BR HR PRE FORM".split())
 
@@ -146,6 +187,9 @@ def has_slot(text: str) -> bool:
         inside = m.group(1).strip()
         if _SLOT_ACTS.search(inside) or (inside.isupper() and _SLOT_NAMES.search(inside)):
             return True
+        named = set(inside.lower().split())
+        if inside[:1].isupper() and named <= _FIELD and named - _FIELD_LINKS:
+            return True
     for m in _GUILLEMET.finditer(text) if "«" in text or "‹" in text else ():
         inside = m.group(1)
         if _SLOT_NAMES.search(inside) and len(inside) <= 24:
@@ -169,311 +213,211 @@ def messages(text: str) -> list[list[str]]:
     return [words for part in _parts(text) if (words := _masked(part))]
 
 
-def leaf_of(words: list[str]) -> str:
-    """The leaf that the prefix tree leads ``words`` to: their number, then the first ``DEPTH`` words."""
-    return " ".join([str(len(words)), *words[:DEPTH]])
-
-
 class PrefixTree:
-    """Fixed-depth prefix tree of message templates; a leaf holds the templates of its length and first words."""
+    """Fixed-depth prefix tree of message templates; a leaf holds the templates of its length and first words.
+
+    Words that verdicts are made of stay in a template, so messages that differ in one have templates of their own; other
+    words become a wildcard where messages differ.
+    """
 
     def __init__(self) -> None:
-        #: By leaf: templates as words and number of messages.
         self.leaves: dict[tuple, list[list]] = {}
+        self.size = 0
 
-    def add(self, words: list[str], count: int = 1) -> list:
-        """The template that ``words`` joined: its words and number of messages."""
+    def add(self, words: list[str]) -> list:
+        """The template that ``words`` join: its words, its number, its messages and documents."""
         size = len(words)
-        key = (size, *words[:DEPTH])
-        leaf = self.leaves.get(key)
-        if leaf is None:
-            made = [words, count]
-            self.leaves[key] = [made]
-            return made
-        best, most = None, -1
+        leaf = self.leaves.setdefault((size, *words[:DEPTH]), [])
         for template in leaf:
-            same = sum(map(eq, template[0], words))
-            if same > most:
-                best, most = template, same
-        if most >= SIMILARITY * size:
-            # Where only wildcards differ, the template stays as it is.
-            if most < size and any(a != b and a != ANY for a, b in zip(best[0], words)):
-                best[0] = [a if a == b else ANY for a, b in zip(best[0], words)]
-            best[1] += count
-            return best
-        made = [words, count]
+            held = template[0]
+            apart = [k for k in range(min(DEPTH, size), size) if held[k] != words[k]]
+            if not apart:
+                return template
+            if len(apart) <= (1 - SIMILARITY) * size and not any(words[k] in KEPT or held[k] in KEPT for k in apart):
+                for k in apart:
+                    held[k] = OTHER
+                return template
+        made = [words, 0, 0, 0]
         leaf.append(made)
+        self.size += 1
         return made
 
-    def templates(self) -> Iterator[tuple[str, str, int]]:
-        for templates in self.leaves.values():
-            for words, count in templates:
-                yield leaf_of(words), " ".join(words), count
 
+def _covered(words: list[str]) -> float:
+    return sum(w in ACTS or w in FUNCTION_WORDS or w == ANY for w in words) / len(words)
 
-# Words of contract clauses.
-CLAUSE_WORDS = set(
-    "shall cl sec schedule breach counts tenant landlord licensee borrower supplier carrier trustee "
-    "guarantor employer contractor insurer buyer annex deadline minutes month keeps while signing designer replace "
-    "binds size means relied".split()
-)
+
+def _names_error(words: list[str]) -> bool:
+    """Whether an error noun stands as the name of an error: first, before a number, or after the kind of error."""
+    for k, w in enumerate(words):
+        if w in ERROR_NOUNS or (w.endswith(("error", "exception")) and len(w) > 9):
+            before, after = words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""
+            if k == 0 or before in ERROR_KINDS or before == ANY or after == ANY:
+                return True
+    return False
 
 
 def verdict(template: str) -> str | None:
-    """What a template of masked words is: ``error``, ``script``, ``filler``, ``menu``, ``tail``, or none of these."""
-    words = template.split()
-    held = set(words)
-    if not words:
+    """What a template is by its words: ``error``, ``script``, ``filler``, ``menu``, ``tail`` (stands beside a notice), or none."""
+    words = template.split(" ")
+    held, n = set(words), len(words)
+    if not template:
         return None
-    if any(p in template for p in FILLER_PHRASES) or (held & {"lorem", "ipsum"}):
-        if not held & FUNCTION_WORDS or len(words) <= 12 and not held & {"shall", "must", "may", "passage"}:
+    if not held & _PROSE:
+        # Pseudo-Latin, the same few words again, or words of one letter each.
+        runs = [w for w in held if len(w) > 2 and w.isalpha() and w == w[0] * len(w)]
+        if held & {"lorem", "ipsum"} or len(runs) > 1 or (n >= 4 and len(held) <= n / 2 and all(w.isalpha() and len(w) > 2 and w not in MENU for w in held)):
+            return "filler"
+        if n >= 4 and len(held & PSEUDO_LATIN) >= 0.6 * len(held) and any(len(w) > 4 for w in held & PSEUDO_LATIN):
             return "filler"
-    if len(words) >= 4 and len(held & PSEUDO_LATIN) >= 0.6 * len(held) and any(len(w) > 4 for w in held & PSEUDO_LATIN):
+    if any(p in template for p in FILLER_PHRASES) and sum(w in _FILLER_WORDS or w in FUNCTION_WORDS or w == ANY for w in words) >= COVERED * n:
         return "filler"
-    if len(words) > LONGEST:
-        return None
-    # A clause about such things speaks of parties and duties.
-    clause = held & CLAUSE_WORDS
-    squeezed = "".join(words)
-    scripts = [w for w in words if w in SCRIPT_WORDS] or ["x"] * ("javascript" in squeezed)
-    if scripts and not clause:
-        if held & set(SCRIPT_ACTS) or any(a in squeezed for a in SCRIPT_ACTS if not a.isascii()) or held & set(BROWSER_WORDS):
+    if not template.isascii():
+        joined = "".join(words)
+        if any(p in joined for p in FILLER_PARTS):
+            return "filler"
+        if "javascript" in joined and any(p in joined for p in SCRIPT_PARTS):
             return "script"
-    if not clause and len(words) <= 10 and held & {"browser", "navigateur", "navegador"} and held & {"reload", "turn"}:
-        return "script"
+        if n <= 6 and any(p in joined for p in ERROR_PARTS):
+            return "error"
     if held & MENU and all(w in MENU or w == ANY for w in words):
         return "menu"
-    if not clause:
-        if any(p in template or (not p.isascii() and p.replace(" ", "") in squeezed) for p in ERROR_PHRASES):
-            return "error"
-        if held & set(ERROR_WORDS) and len(words) <= 16:
-            return "error"
-        if template in ERROR_TAILS or words[0] in ("ref", "request", "code") and len(words) <= 4:
-            return "tail"
+    covered = _covered(words)
+    if covered <= COVERED:
+        return None
+    if held & SCRIPT_WORDS and n >= 3:
+        return "script"
+    if held & {"browser", "navigateur", "navegador", "браузер"} and held & {"reload", "turn", "support", "enable", "update"}:
+        return "script"
+    if _names_error(words) or (all(w in STATUS or w == ANY for w in words) and held & {"found", "gone", "forbidden", "unauthorized", "unavailable", "gateway", "requests", "error"}):
+        return "error"
+    if held & {"cannot", "could", "couldn't", "can't"} and held & {"shown", "opened", "displayed", "loaded", "delivered", "found", "read"}:
+        return "error"
+    if held & PLEAS or (held & THINGS and held & STATES and n > 1 and len(held & ACTS) >= 2):
+        return "error"
+    if covered == 1.0 and held & ACTS and n <= 12:
+        return "tail"
     return None
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return spread(docs.select("doc_id", "text").where("doc_id is not null and text is not null and trim(text) <> ''"), "doc_id")
-
-
-def _longest_word(phrase: str) -> str:
-    return max((w for w in phrase.split() if w != ANY), key=len)
-
-
-#: A message without any of these words, or in other scripts these parts, has no verdict but that of a menu.
-_CUES = (
-    set(SCRIPT_WORDS) | set(ERROR_WORDS) | set(BROWSER_WORDS) | {w for w in PSEUDO_LATIN if len(w) > 4}
-    | {_longest_word(p) for p in (*ERROR_PHRASES, *FILLER_PHRASES)}
-)
-_CUE_PARTS = [p.replace(" ", "") for p in (*ERROR_PHRASES, *FILLER_PHRASES, *ERROR_WORDS) if not p.isascii()] + ["javascript"]
-#: First and last words of menus and of messages that stand beside another.
-_BESIDE = MENU | {ANY, "ref", "request", "code", "reload", "please", "later"}
-_SAID = ("error", "script", "filler")
-
-
-def _has_cue(words: list[str]) -> bool:
-    if not _CUES.isdisjoint(words):
-        return True
-    text = "".join(words)
-    return not text.isascii() and any(p in text for p in _CUE_PARTS)
-
-
-def says_something(words: list[str]) -> bool:
-    """Whether a message is an error, a script notice or filler by its own words."""
-    return _has_cue(words) and verdict(" ".join(words)) in _SAID
-
-
-def _judged(template: str) -> str | None:
-    """The verdict of a template; those without a cue need no look at the phrases."""
-    words = template.split(" ")
-    beside = words[0] in _BESIDE and words[-1] in _BESIDE
-    return verdict(template) if beside or _has_cue(words) else None
-
-
-_MARK, _SEP = "\x1e", "\x1f"
-
-
-#: Messages of a partition whose reading is remembered; a repeated message is counted without being read again.
-REMEMBERED = 100_000
+_READ = ["kind", "id", "template", "doc_id", "slot", "ids"]
 
 
 def _read_once(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: the templates of each partition's prefix tree, and the documents that may be cases.
+    """One pass over the texts: the templates of each partition's prefix tree, and the documents.
 
-    Rows of kind ``t`` have ``leaf``, ``template`` and ``n``; rows of kind ``d`` have ``doc_id``, ``slot`` and, where some
-    message says something, all ``messages``.
+    Rows of kind ``t`` have ``id`` and ``template``; rows of kind ``d`` have ``doc_id``, ``slot`` and ``ids``, the templates of
+    all messages, once each. The numbers tell partitions apart.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 36
         tree = PrefixTree()
-        # What is known of a message that was read before: its words, its template, whether it says something.
-        known: dict[str, tuple[list[str], list | None, bool]] = {}
+        templates: list[list] = []
+        known: dict[str, int] = {}
         for batch in batches:
             out = []
             for d, raw in zip(batch["doc_id"], batch["text"]):
                 text = consistent(raw)
-                said, found = False, []
+                ids = set()
                 for part in _parts(text):
-                    message = known.get(part)
-                    if message is None:
-                        words = _masked(part)
-                        template = tree.add(words) if 0 < len(words) <= LONGEST else None
-                        message = (words, template, bool(words) and says_something(words))
+                    at = known.get(part)
+                    if at is None:
+                        at = 0
+                        if words := _masked(part):
+                            template = tree.add(words)
+                            if not template[1]:
+                                number += 1
+                                template[1] = number
+                                templates.append(template)
+                            at = template[1]
                         if len(known) >= REMEMBERED:
                             known.clear()
-                        known[part] = message
-                    elif message[1] is not None:
-                        message[1][1] += 1
-                    if message[0]:
-                        found.append(message[0])
-                        said |= message[2]
-                slot = has_slot(text)
-                if slot or said:
-                    out.append(("d", None, None, None, d, slot, _MARK.join(_SEP.join(w) for w in found) if said else None))
-            yield pd.DataFrame(out, columns=_ONCE)
-        yield pd.DataFrame(
-            [("t", leaf, t, n, None, None, None) for leaf, t, n in tree.templates() if _judged(t) is not None], columns=_ONCE
-        )
-
-    schema = "kind string, leaf string, template string, n long, doc_id long, slot boolean, messages string"
-    return written(_rows(docs).mapInPandas(read, schema), "residue")
-
-
-_ONCE = ["kind", "leaf", "template", "n", "doc_id", "slot", "messages"]
-
-
-def _templates(once: DataFrame) -> DataFrame:
-    """The templates of all partitions merged by leaf and judged once."""
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, at = PrefixTree(), None
-
-        def judged() -> list[tuple]:
-            return [(leaf, t, v, n) for leaf, t, n in tree.templates() if (v := verdict(t)) is not None]
-
-        for batch in batches:
-            out = []
-            for leaf, template, n in zip(batch["leaf"], batch["template"], batch["messages"]):
-                if leaf != at:
-                    out += judged()
-                    tree, at = PrefixTree(), leaf
-                tree.add(template.split(" "), int(n))
-            yield pd.DataFrame(out, columns=_TEMPLATE)
-        yield pd.DataFrame(judged(), columns=_TEMPLATE)
+                        known[part] = at
+                    if at:
+                        ids.add(at)
+                out.append(("d", None, None, d, has_slot(text), sorted(ids)))
+            if tree.size >= TREE_SIZE:
+                out += [("t", t[1], " ".join(t[0]), None, None, None) for t in templates]
+                tree, templates, known = PrefixTree(), [], {}
+            yield pd.DataFrame(out, columns=_READ)
+        yield pd.DataFrame([("t", t[1], " ".join(t[0]), None, None, None) for t in templates], columns=_READ)
 
-    local = once.where("kind = 't'").groupBy("leaf", "template").agg(F.sum("n").alias("messages"))
-    # The templates of a leaf follow one another in one partition.
-    by_leaf = local.repartition("leaf").sortWithinPartitions("leaf", "template")
-    return by_leaf.mapInPandas(merge, "leaf string, template string, verdict string, messages long")
+    rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null and trim(text) <> ''")
+    schema = "kind string, id long, template string, doc_id long, slot boolean, ids array<long>"
+    return written(spread(rows, "doc_id").mapInPandas(read, schema), "residue")
 
 
-_TEMPLATE = ["leaf", "template", "verdict", "messages"]
+@F.pandas_udf(T.StringType())
+def _verdicts(templates: pd.Series) -> pd.Series:
+    return pd.Series([verdict(t) for t in templates], dtype=object)
 
 
-def message_templates(docs: DataFrame) -> DataFrame:
-    """The templates of notices, errors, menus and filler of all documents: ``leaf``, ``template``, ``verdict``, ``messages``.
+def _judged(once: DataFrame) -> DataFrame:
+    """Every template once, with its verdict by its own words and by the words of filler: ``template``, ``verdict``.
 
-    Every partition grows a prefix tree over all its messages; templates that are plain text stay there, the others
-    are merged by leaf over the whole corpus and classified once. Null and blank texts add nothing.
+    A word is one of filler if a share of the templates it stands in are filler by their own words; a template that is
+    mostly made of such words is filler.
     """
-    return _templates(_read_once(docs))
-
-
-def _ordered(templates: list[tuple[str, str]]) -> list[tuple[list[str], str]]:
-    """Templates of a leaf with their verdicts in the order they are tried: those with the fewest wildcards first."""
-    return [(t.split(" "), v) for t, v in sorted(templates, key=lambda x: (x[0].count(ANY), x[0]))]
-
-
-def _match(leaves: dict[str, list[tuple[list[str], str]]], words: list[str]) -> str | None:
-    """The verdict of the template that ``words`` follow."""
-    for template, v in leaves.get(leaf_of(words), ()):
-        if all(a == ANY or a == b for a, b in zip(template, words)):
-            return v
-    return None
-
-
-def _kind(verdicts: list[str | None]) -> str | None:
-    """The kind of a document without slots by the verdicts of its messages."""
-    if "filler" in verdicts:
-        return "filler"
-    if verdicts and all(v in ("error", "script", "menu", "tail") for v in verdicts):
-        for kind in ("script", "error"):
-            if kind in verdicts:
-                return kind
-    return None
+    templates = once.where("kind = 't'").select("template").distinct()
+    own = written(templates.withColumn("verdict", _verdicts("template")), "templates")
+    words = own.select("template", "verdict", F.explode(F.array_distinct(F.split("template", " "))).alias("word"))
+    filler = F.coalesce(F.col("verdict") == "filler", F.lit(False))
+    plain = ~F.col("word").isin(ANY, OTHER)
+    learned = (
+        words.where(plain).groupBy("word").agg(F.count_if(filler).alias("f"), F.count(F.lit(1)).alias("n"))
+        .where((F.col("f") >= FILLER_LEAST) & (F.col("f") >= FILLER_SHARE * F.col("n"))).select("word")
+    )
+    parted = words.where(F.col("verdict").isNull() & plain).join(learned.withColumn("known", F.lit(1)), "word", "left")
+    found = (
+        parted.groupBy("template").agg(F.count("known").alias("known"), F.count(F.lit(1)).alias("n"))
+        .where("n >= 3 and known >= 0.8 * n").select("template", F.lit("filler").alias("learned"))
+    )
+    return own.join(found, "template", "left").select("template", F.coalesce("verdict", "learned").alias("verdict"))
 
 
-#: Rows of the template table up to which it is sent to every worker; a larger one is joined.
-SENT_TEMPLATES = 50_000
+def message_templates(docs: DataFrame) -> DataFrame:
+    """The templates of notices, errors, menus and filler of all documents: ``template``, ``verdict``."""
+    return _judged(_read_once(docs)).where("verdict is not null")
 
 
-def template_residue(docs: DataFrame, sent_templates: int = SENT_TEMPLATES) -> DataFrame:
+def template_residue(docs: DataFrame) -> DataFrame:
     """Documents that hold an unfilled slot or filler, or that consist of an error message or a script notice.
 
     Columns ``doc_id``, ``kind`` (``slot``, ``filler``, ``error``, ``script``; the first that applies, in this order).
     Menu words may stand around a message. Null, empty and blank texts and rows without id give no rows; a document given twice comes out
-    once; extra columns are ignored. The templates are mined over all documents and judged once; their verdicts are
-    propagated by a lookup, or by a join where there are more than ``sent_templates``. A message whose template has no
-    verdict keeps its own.
+    once; extra columns are ignored. The templates are mined over all documents and judged once; every message of every
+    document has the verdict of its template. A template without verdict whose documents are nearly all notices
+    otherwise is taken as part of them.
     """
     once = _read_once(docs)
-    found = written(_templates(once), "templates")
-    cases = once.where("kind = 'd'").select("doc_id", "slot", "messages").dropDuplicates(["doc_id"])
-    slots = cases.where("slot").select("doc_id", F.lit("slot").alias("kind"))
-    said = cases.where("not slot")
-    known = found.select("leaf", "template", "verdict").limit(sent_templates + 1).collect()
-    if len(known) <= sent_templates:
-        leaves: dict[str, list[tuple[str, str]]] = {}
-        for r in known:
-            leaves.setdefault(r.leaf, []).append((r.template, r.verdict))
-        sent = docs.sparkSession.sparkContext.broadcast({leaf: _ordered(held) for leaf, held in leaves.items()})
-
-        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = sent.value
-            for batch in batches:
-                out = []
-                for d, joined in zip(batch["doc_id"], batch["messages"]):
-                    parts = [m.split(_SEP) for m in joined.split(_MARK)]
-                    # A template that ordinary sentences joined may have lost the words that a message is judged by.
-                    verdicts = [_match(own, w) or verdict(" ".join(w)) for w in parts]
-                    if (kind := _kind(verdicts)) is not None:
-                        out.append((d, kind))
-                yield pd.DataFrame(out, columns=["doc_id", "kind"])
-
-        return slots.unionByName(said.select("doc_id", "messages").mapInPandas(look, "doc_id long, kind string"))
-
-    @F.pandas_udf("struct<leaf: string, own: string>")
-    def place(words: pd.Series) -> pd.DataFrame:
-        parts = [w.split(_SEP) for w in words]
-        own = [verdict(" ".join(w)) for w in parts]
-        return pd.DataFrame({"leaf": [leaf_of(w) for w in parts], "own": pd.Series(own, dtype=object)})
-
-    @F.pandas_udf("string")
-    def follow(words: pd.Series, leaf: pd.Series, templates: pd.Series) -> pd.Series:
-        out = []
-        for w, at, held in zip(words, leaf, templates):
-            out.append(_match({at: _ordered([(x["template"], x["verdict"]) for x in held])}, w.split(_SEP)))
-        return pd.Series(out, dtype=object)
-
-    by_leaf = found.groupBy("leaf").agg(F.collect_set(F.struct("template", "verdict")).alias("held"))
-    each = said.select("doc_id", F.explode(F.split("messages", _MARK)).alias("words")).withColumn("p", place("words"))
-    each = (
-        each.select("doc_id", "words", "p.leaf", "p.own")
-        .join(by_leaf, "leaf", "left")
-        .withColumn("v", F.coalesce(follow("words", "leaf", F.coalesce("held", F.array())), "own"))
-    )
-
-    def held(*kinds: str) -> Column:
-        return F.coalesce(F.col("v").isin(*kinds), F.lit(False))
-
-    judged = each.groupBy("doc_id").agg(
-        F.max(held("filler")).alias("filler"), F.min(held("error", "script", "menu", "tail")).alias("whole"),
-        F.max(held("script")).alias("script"), F.max(held("error")).alias("error"),
+    read = once.where("kind = 'd'").select("doc_id", "slot", "ids").dropDuplicates(["doc_id"])
+    slots = read.where("slot").select("doc_id", F.lit("slot").alias("kind"))
+    templates = once.where("kind = 't'").select("id", "template")
+    judged = written(templates.join(_judged(once).where("verdict is not null"), "template").select("id", "template", "verdict"), "verdicts")
+    rest = read.where("not slot").select("doc_id", F.size("ids").alias("size"), F.explode("ids").alias("id"))
+    held = rest.join(judged.select("id", "verdict"), "id")
+
+    def has(kind: str) -> Column:
+        return F.coalesce(F.max(F.col("verdict") == kind), F.lit(False)).alias(kind)
+
+    by_doc = written(
+        held.groupBy("doc_id").agg(
+            F.first("size").alias("size"), F.count(F.lit(1)).alias("known"), has("filler"), has("script"), has("error"),
+        ),
+        "cases",
     )
-    kind = (
-        F.when(F.col("filler"), "filler")
-        .when(F.col("whole") & F.col("script"), "script")
-        .when(F.col("whole") & F.col("error"), "error")
-    )
-    return slots.unionByName(judged.select("doc_id", kind.alias("kind")).where("kind is not null"))
+    said = by_doc.where("(script or error) and not filler")
+    # Notices with other messages in them: do those stand in notices only?
+    open_ = said.where("known < size and known * 2 >= size").select("doc_id", "size", "known")
+    left = rest.join(open_.select("doc_id"), "doc_id").join(judged.select("id"), "id", "left_anti")
+    named = left.join(templates, "id").select("doc_id", "template")
+    here = named.groupBy("template").agg(F.count_distinct("doc_id").alias("notices")).where(F.col("notices") >= BESIDE_LEAST)
+    all_ids = templates.join(here.select("template"), "template").select("id", "template")
+    docs_of = read.select("doc_id", F.explode("ids").alias("id")).join(all_ids, "id").groupBy("template").agg(F.count_distinct("doc_id").alias("documents"))
+    beside = here.join(docs_of, "template").where(F.col("notices") >= BESIDE_SHARE * F.col("documents")).select("template")
+    more = named.join(beside, "template").groupBy("doc_id").agg(F.count_distinct("template").alias("more"))
+    whole = said.join(more, "doc_id", "left").where(F.col("known") + F.coalesce("more", F.lit(0)) >= F.col("size"))
+    kinds = whole.select("doc_id", F.when(F.col("script"), "script").otherwise("error").alias("kind"))
+    return slots.unionByName(by_doc.where("filler").select("doc_id", F.lit("filler").alias("kind"))).unionByName(kinds)
