@@ -12,6 +12,7 @@ are.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -141,20 +142,28 @@ def _canonical(segment: str) -> str:
     return unicodedata.normalize("NFC", out)
 
 
+_remembered = functools.lru_cache(maxsize=1 << 16)(_canonical)
+
+
 def consistent(text: str | None) -> str | None:
     """The consistent form of ``text``; null stays null. Applying it twice changes nothing more.
 
     A joiner at the end of a segment is judged by the stable character behind it, which is why that is seen too.
+    The forms of short segments are remembered.
     """
     if text is None or text.isascii():
         return text
     pieces, done = [], 0
     for m in _RUN.finditer(text):
         start, end = m.span()
-        start = max(start - 1, done)
-        pieces.append(text[done:start])
+        if start > done:
+            start -= 1
+            if start > done:
+                pieces.append(text[done:start])
         if text[end - 1] in JOINERS and end < len(text):
             pieces.append(_canonical(text[start : end + 1])[:-1])
+        elif end - start < 16:
+            pieces.append(_remembered(text[start:end]))
         else:
             pieces.append(_canonical(text[start:end]))
         done = end

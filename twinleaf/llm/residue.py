@@ -10,8 +10,11 @@ Unfilled slots inside ordinary records are found apart, by the grammar of slots.
 
 from __future__ import annotations
 
+import gc
 import re
+from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import pandas as pd
 from pyspark import TaskContext
@@ -35,6 +38,8 @@ REMEMBERED = 100_000
 COVERED = 0.75
 #: Share of a word's messages that are filler from which the word is one of filler, and least number of such messages.
 FILLER_SHARE, FILLER_LEAST = 0.1, 5
+#: Share of the filler templates that have such a word, and share of a template's words that must be such.
+FILLER_COMMON, FILLER_MADE = 1e-4, 0.8
 #: Documents of a template, nearly all of them otherwise notices, from which it counts as part of the notice.
 BESIDE_LEAST, BESIDE_SHARE = 3, 0.9
 
@@ -111,6 +116,7 @@ MENU = set(
 _FILLER_WORDS = {w for p in FILLER_PHRASES for w in p.split()} | set("clause paragraph box text noch ersetzen bitte your this".split())
 #: Words that a template keeps, since verdicts are made of them: so a message and its template have one verdict.
 KEPT = ACTS | FUNCTION_WORDS | _PROSE | PSEUDO_LATIN | MENU | _FILLER_WORDS | {ANY}
+_KEPT = {w: w for w in KEPT}
 
 _NAME = r"[^\W\d_][\w]*(?:[ ._'’-][\w]+){0,5}"
 # The shapes of unfilled slots, each behind the text that all of its kind hold. They are searched in
@@ -205,6 +211,8 @@ def _parts(text: str) -> list[str]:
 
 def _masked(part: str) -> list[str]:
     """The words of a message, with a wildcard for each number and code."""
+    if not _DIGIT.search(part):
+        return _WORD.findall(part)
     return [w if w.isalpha() or not _DIGIT.search(w) else ANY for w in _WORD.findall(part)]
 
 
@@ -225,26 +233,36 @@ class PrefixTree:
         self.size = 0
 
     def add(self, words: list[str]) -> list:
-        """The template that ``words`` join: its words, its number, its messages and documents."""
+        """The template that ``words`` join: its words and its number, 0 while it has none."""
         size = len(words)
-        leaf = self.leaves.setdefault((size, *words[:DEPTH]), [])
+        # Messages of one leaf agree in their first words and in all the words that templates keep.
+        key = (*words[:DEPTH], *map(_KEPT.get, words[DEPTH:]))
+        leaf = self.leaves.get(key)
+        if leaf is None:
+            leaf = self.leaves[key] = []
         for template in leaf:
             held = template[0]
-            apart = [k for k in range(min(DEPTH, size), size) if held[k] != words[k]]
-            if not apart:
+            same = sum(map(eq, held, words))
+            if same == size:
                 return template
-            if len(apart) <= (1 - SIMILARITY) * size and not any(words[k] in KEPT or held[k] in KEPT for k in apart):
-                for k in apart:
-                    held[k] = OTHER
+            if same >= SIMILARITY * size:
+                if same + held.count(OTHER) < size:
+                    template[0] = [a if a == b else OTHER for a, b in zip(held, words)]
                 return template
-        made = [words, 0, 0, 0]
+        made = [words, 0]
         leaf.append(made)
         self.size += 1
         return made
 
 
+_COVER = ACTS | FUNCTION_WORDS | {ANY}
+_FILLER_COVER = _FILLER_WORDS | FUNCTION_WORDS | {ANY}
+#: A word of every filler phrase.
+_FILLER_KEYS = set("lorem dolor dummy sample placeholder filler text fill asdf blindtext remplissage faux ejemplo relleno simulado segnaposto blah foo рыба".split())
+
+
 def _covered(words: list[str]) -> float:
-    return sum(w in ACTS or w in FUNCTION_WORDS or w == ANY for w in words) / len(words)
+    return sum(map(_COVER.__contains__, words)) / len(words)
 
 
 def _names_error(words: list[str]) -> bool:
@@ -270,7 +288,7 @@ def verdict(template: str) -> str | None:
             return "filler"
         if n >= 4 and len(held & PSEUDO_LATIN) >= 0.6 * len(held) and any(len(w) > 4 for w in held & PSEUDO_LATIN):
             return "filler"
-    if any(p in template for p in FILLER_PHRASES) and sum(w in _FILLER_WORDS or w in FUNCTION_WORDS or w == ANY for w in words) >= COVERED * n:
+    if held & _FILLER_KEYS and any(p in template for p in FILLER_PHRASES) and sum(map(_FILLER_COVER.__contains__, words)) >= COVERED * n:
         return "filler"
     if not template.isascii():
         joined = "".join(words)
@@ -311,6 +329,13 @@ def _read_once(docs: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gc.disable()  # a tree has no cycles, and going through its many small lists costs a tenth of the time
+        try:
+            yield from grown(batches)
+        finally:
+            gc.enable()
+
+    def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 36
         tree = PrefixTree()
@@ -355,26 +380,45 @@ def _verdicts(templates: pd.Series) -> pd.Series:
 
 
 def _judged(once: DataFrame) -> DataFrame:
-    """Every template once, with its verdict by its own words and by the words of filler: ``template``, ``verdict``.
+    """The templates that have a verdict, once each: ``template``, ``verdict``.
 
-    A word is one of filler if a share of the templates it stands in are filler by their own words; a template that is
-    mostly made of such words is filler.
+    A verdict comes from the template's own words or from the words of filler: a word is one of filler if a share of all
+    templates it stands in are filler by their own words; a template that is mostly made of such words is filler. Only
+    words that a share ``FILLER_COMMON`` of the filler has are asked about, so at most the words of a filler template, on
+    average, over that share are sent out.
     """
+    spark = once.sparkSession
     templates = once.where("kind = 't'").select("template").distinct()
     own = written(templates.withColumn("verdict", _verdicts("template")), "templates")
-    words = own.select("template", "verdict", F.explode(F.array_distinct(F.split("template", " "))).alias("word"))
-    filler = F.coalesce(F.col("verdict") == "filler", F.lit(False))
-    plain = ~F.col("word").isin(ANY, OTHER)
-    learned = (
-        words.where(plain).groupBy("word").agg(F.count_if(filler).alias("f"), F.count(F.lit(1)).alias("n"))
-        .where((F.col("f") >= FILLER_LEAST) & (F.col("f") >= FILLER_SHARE * F.col("n"))).select("word")
-    )
-    parted = words.where(F.col("verdict").isNull() & plain).join(learned.withColumn("known", F.lit(1)), "word", "left")
-    found = (
-        parted.groupBy("template").agg(F.count("known").alias("known"), F.count(F.lit(1)).alias("n"))
-        .where("n >= 3 and known >= 0.8 * n").select("template", F.lit("filler").alias("learned"))
-    )
-    return own.join(found, "template", "left").select("template", F.coalesce("verdict", "learned").alias("verdict"))
+    filler = own.where("verdict = 'filler'")
+    words = filler.select(F.explode(F.array_distinct(F.split("template", " "))).alias("word")).where(~F.col("word").isin(ANY, OTHER))
+    least = max(FILLER_LEAST, FILLER_COMMON * filler.count())
+    often = {r.word: r.n for r in words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect()}
+    if not often:
+        return own.where("verdict is not null")
+    asked = spark.sparkContext.broadcast(frozenset(often))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+        for batch in batches:
+            for t in batch["template"]:
+                held.update(asked.value.intersection(t.split(" ")))
+        yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+
+    total = own.select("template").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    learned = spark.sparkContext.broadcast(frozenset(r.word for r in total if often[r.word] >= FILLER_SHARE * r.n))
+
+    @F.pandas_udf(T.StringType())
+    def again(template: pd.Series, verdict: pd.Series) -> pd.Series:
+        known, out = learned.value, []
+        for t, v in zip(template, verdict):
+            if v is None:
+                held = set(t.split(" ")) - {ANY, OTHER}
+                v = "filler" if len(held) >= 3 and len(held & known) >= FILLER_MADE * len(held) else None
+            out.append(v)
+        return pd.Series(out, dtype=object)
+
+    return own.select("template", again("template", "verdict").alias("verdict")).where("verdict is not null")
 
 
 def message_templates(docs: DataFrame) -> DataFrame:
@@ -395,29 +439,30 @@ def template_residue(docs: DataFrame) -> DataFrame:
     read = once.where("kind = 'd'").select("doc_id", "slot", "ids").dropDuplicates(["doc_id"])
     slots = read.where("slot").select("doc_id", F.lit("slot").alias("kind"))
     templates = once.where("kind = 't'").select("id", "template")
-    judged = written(templates.join(_judged(once).where("verdict is not null"), "template").select("id", "template", "verdict"), "verdicts")
+    # What is small is written before it is joined, so that its size decides how.
+    judged = written(templates.join(written(_judged(once), "judged"), "template").select("id", "verdict"), "verdicts")
     rest = read.where("not slot").select("doc_id", F.size("ids").alias("size"), F.explode("ids").alias("id"))
-    held = rest.join(judged.select("id", "verdict"), "id")
+    held = rest.join(judged, "id")
 
     def has(kind: str) -> Column:
         return F.coalesce(F.max(F.col("verdict") == kind), F.lit(False)).alias(kind)
 
-    by_doc = written(
-        held.groupBy("doc_id").agg(
-            F.first("size").alias("size"), F.count(F.lit(1)).alias("known"), has("filler"), has("script"), has("error"),
-        ),
-        "cases",
-    )
-    said = by_doc.where("(script or error) and not filler")
+    kinds = (has("filler"), has("script"), has("error"))
+    by_doc = written(held.groupBy("doc_id").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("known"), *kinds), "cases")
+    said = by_doc.where("(script or error) and not filler").withColumn("kind", F.when(F.col("script"), "script").otherwise("error"))
+    found = slots.unionByName(by_doc.where("filler").select("doc_id", F.lit("filler").alias("kind")))
+    found = found.unionByName(said.where("known = size").select("doc_id", "kind"))
+
     # Notices with other messages in them: do those stand in notices only?
-    open_ = said.where("known < size and known * 2 >= size").select("doc_id", "size", "known")
-    left = rest.join(open_.select("doc_id"), "doc_id").join(judged.select("id"), "id", "left_anti")
-    named = left.join(templates, "id").select("doc_id", "template")
+    half = said.where("known < size and known * 2 >= size").select("doc_id", "kind", F.col("size") - F.col("known"))
+    half = written(half.toDF("doc_id", "kind", "open"), "half")
+    left = written(rest.select("doc_id", "id").join(half, "doc_id").join(judged.select("id"), "id", "left_anti"), "left")
+    if left.isEmpty():
+        return found
+    named = written(left.join(templates, "id").select("doc_id", "kind", "open", "template"), "named")
     here = named.groupBy("template").agg(F.count_distinct("doc_id").alias("notices")).where(F.col("notices") >= BESIDE_LEAST)
-    all_ids = templates.join(here.select("template"), "template").select("id", "template")
-    docs_of = read.select("doc_id", F.explode("ids").alias("id")).join(all_ids, "id").groupBy("template").agg(F.count_distinct("doc_id").alias("documents"))
-    beside = here.join(docs_of, "template").where(F.col("notices") >= BESIDE_SHARE * F.col("documents")).select("template")
-    more = named.join(beside, "template").groupBy("doc_id").agg(F.count_distinct("template").alias("more"))
-    whole = said.join(more, "doc_id", "left").where(F.col("known") + F.coalesce("more", F.lit(0)) >= F.col("size"))
-    kinds = whole.select("doc_id", F.when(F.col("script"), "script").otherwise("error").alias("kind"))
-    return slots.unionByName(by_doc.where("filler").select("doc_id", F.lit("filler").alias("kind"))).unionByName(kinds)
+    ids = written(templates.join(here, "template").select("id", "template", "notices"), "asked")
+    everywhere = read.select("doc_id", F.explode("ids").alias("id")).join(ids, "id")
+    beside = everywhere.groupBy("template", "notices").agg(F.count_distinct("doc_id").alias("n")).where(F.col("notices") >= BESIDE_SHARE * F.col("n"))
+    more = named.join(beside.select("template"), "template").groupBy("doc_id", "kind", "open").agg(F.count_distinct("template").alias("more"))
+    return found.unionByName(more.where("more = open").select("doc_id", "kind"))
