@@ -17,12 +17,13 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` hashed by ``keys`` over the cluster when its scan has too few partitions to keep the cores busy.
+    """``df`` hashed by ``keys`` over the cluster when its scan has fewer partitions than the cluster has cores.
 
-    A scan of many splits is left as it is, so at scale this adds no shuffle. The hash is of values, so a
-    recomputed partition after a lost executor holds the same rows.
+    ``df`` is a scan with filters and projections: its partitions are counted without running anything. A scan of
+    enough splits is left as it is, so at scale this adds no shuffle. The hash is of values, so a recomputed partition
+    after a lost executor holds the same rows.
     """
     spark = df.sparkSession
-    if df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism:
+    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(shuffle_width(spark), *[F.col(k) for k in keys])
