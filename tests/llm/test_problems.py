@@ -305,6 +305,35 @@ def test_scan_candidate_of_its_neighbours():
     assert channel.decode(["pay", "cbcbcb"]) == [None, "cbcbch"]
 
 
+def test_running_headers(spark):
+    body = ["The carrier bears the cost of the inventory", "list until the end of the year and no longer", "than that, and the tenant pays the rent in"]
+    short, wide = "Lease of Roe and Doe", "The tenant shall pay the whole rent in advance"
+    rows = [(1, q, "\n".join([*body, short, *body])) for q in range(3)]  # recurs between lines, short of the width
+    rows += [(2, q, "\n".join([*body, wide, *body])) for q in range(2)]  # text that happens to recur
+    rows += [(3, 0, body[0] + "\nDeed of Roe"), (3, 1, "Deed of Roe"), (4, 0, body[0] + "\nDeed of Roe   7"), (4, 1, body[1] + "\nDeed of Roe   8")]
+    rows += [(5, q, f"Deed number {q} of Roe\n" + body[0]) for q in range(3)]  # each only once
+    df = spark.createDataFrame(rows, "doc_id long, seq int, text string")
+    found = {(r.doc_id, r.head) for r in scans.running_headers(df).collect()}
+    assert found == {(1, short), (3, "Deed of Roe"), (4, "Deed of Roe")}
+    assert scans.running_headers(df.limit(0)).count() == 0
+
+
+def test_word_counts_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"The rent of {i} is due, the rent is paid.") for i in range(50)], "doc_id long, text string")
+    whole = scans.word_counts(df)
+    assert whole.words["rent"] == 100 and whole.words["<num>"] == 50 and whole.pairs["the rent"] == 100 and whole.pairs["due the"] == 50
+    monkeypatch.setattr(scans, "COUNTED", 1)
+    tables = list(scans._tallied(iter([df.select("text").toPandas()] * 3)))
+    assert len(tables) == 3 and sum(t.loc[t.gram == "rent", "n"].sum() for t in tables) == 300
+
+
+def test_edits_are_all_near_words():
+    words = dict.fromkeys("tenant tenants tonant rental entire tenan café cafés".split(), 9)
+    channel = scans.Channel(1000, words, {})
+    assert set(channel._edited("tenant")) == {"tenants", "tonant", "tenan"}
+    assert set(channel._edited("cafés")) == {"café"} and set(channel._edited("tenannt")) == {"tenant"}
+
+
 # 6
 
 
