@@ -125,24 +125,45 @@ def test_segment(text, n):
 
 def test_scan_composes_functions():
     rng = np.random.default_rng(3)
-    functions = rng.integers(0, sentences.STATES, size=(37, sentences.STATES))
+    chosen = [tuple(f) for f in rng.integers(0, sentences.STATES, size=(37, sentences.STATES)).tolist()]
     state, expected = sentences.OUT, []
-    for f in functions:
+    for f in chosen:
         expected.append(state)
         state = f[state]
-    assert sentences.compose_scan(functions).tolist() == expected
+    assert sentences.compose_scan(chosen).tolist() == expected
+
+
+def test_functions_are_those_of_the_transducer():
+    rng = random.Random(6)
+    for _ in range(200):
+        events = [(k, rng.randrange(sentences.SYMBOLS), k + 1) for k in range(rng.randrange(30))]
+        f = sentences.function_of(events)
+        for s in range(sentences.STATES):
+            state = s
+            for _, symbol, _ in events:
+                state = sentences.NEXT_STATE[state][symbol]
+            assert f[s] == state
 
 
 def test_sentences_in_chunks(spark):
     text = " ".join(t for t, _ in SENTENCES) * 30
-    df = texts(spark, [text, "Short one. Two.", None, "  ", ""])
-    whole = sentences.sentence_units(df).orderBy("doc_id", "sent_no").collect()
-    parts = sentences.sentence_units(df, chunk=700).orderBy("doc_id", "sent_no").collect()
-    assert whole == parts and {r.doc_id for r in whole} == {0, 1}
+    blank = "One ends here." + " " * 1500 + "\n" * 700 + "Two ends here" + "." * 900 + " Three “quotes. Four" + " " * 2000 + "ends.” Five."
+    df = texts(spark, [text, "Short one. Two.", None, "  ", "", blank, text, "no stop"])
+    whole = sentences.sentence_units(df, chunk=1 << 20).orderBy("doc_id", "sent_no").collect()
+    assert {r.doc_id for r in whole} == {0, 1, 5, 6, 7}
     assert all(text[r.start_char : r.end_char] == r.text for r in whole if r.doc_id == 0)
+    for chunk, part in ((2048, 1 << 20), (300, 1 << 20), (64, 700), (5, 1500), (2048, 2049)):
+        parts = sentences.sentence_units(df, chunk=chunk, part=part).orderBy("doc_id", "sent_no").collect()
+        assert whole == parts, (chunk, part)
     assert sentences.sentence_units(df.limit(0)).count() == 0
 
 
+@given(st.text(alphabet="ab.A \n“”\"1?!…)", max_size=300), st.integers(1, 60))
+@settings(max_examples=200, deadline=None)
+def test_segment_is_the_same_for_every_chunk(text, chunk):
+    assert sentences.segment(text, chunk) == sentences.segment(text, 1 << 20)
+
+
 # 3
 
 

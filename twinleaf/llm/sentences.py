@@ -1,9 +1,11 @@
 """Problem 2: sentence boundaries across languages and scripts.
 
 The boundary rules are compiled into a finite transducer: its input symbols are marks classified by their bounded
-context, its states are the kinds of open quotation, its output says whether a sentence ends after the mark. A long
-document is read in chunks; each chunk becomes a function from states to states, and the functions are composed by
-a parallel prefix scan, which gives every chunk the state it begins in.
+context, its states are the kinds of open quotation, its output says whether a sentence ends after the mark.
+
+Every document is read in chunks. The marks of a chunk are classified once and folded into the chunk's function; the
+functions are composed by a parallel prefix scan, which gives every chunk the state it begins in, and its marks their
+output. Documents above a part's length are read by several tasks, whose functions are composed the same way.
 """
 
 from __future__ import annotations
@@ -241,29 +243,42 @@ def symbols(text: str) -> Iterator[tuple[int, int, int]]:
             yield start, STOP, end + close
 
 
-def run(text: str, begin: int, stop: int, offset: int, state: int) -> tuple[int, list[int]]:
-    """The state after the marks at positions ``begin <= p < stop`` of ``text``, and where sentences end (plus ``offset``)."""
-    ends = []
-    for at, symbol, end in symbols(text):
-        if at < begin:
-            continue
-        if at >= stop:
-            break
+SAME = tuple(range(STATES))
+#: The functions met so far, by what the next symbol makes of them. There are finitely many, and texts use few.
+_AFTER: dict[tuple[int, ...], list[tuple[int, ...] | None]] = {}
+Event = tuple[int, int, int]
+
+
+def function_of(events: list[Event]) -> tuple[int, ...]:
+    """The function from states to states that a stretch of marks has."""
+    f = SAME
+    for _, symbol, _ in events:
+        row = _AFTER.setdefault(f, [None] * SYMBOLS)
+        g = row[symbol]
+        if g is None:
+            g = row[symbol] = tuple(NEXT_STATE[s][symbol] for s in f)
+        f = g
+    return f
+
+
+def outputs(events: list[Event], state: int) -> list[int]:
+    """Where sentences end in a stretch of marks that begins in ``state``."""
+    found = []
+    for _, symbol, end in events:
         if ENDS[state][symbol]:
-            ends.append(end + offset)
+            found.append(end)
         state = NEXT_STATE[state][symbol]
-    return state, ends
+    return found
 
 
-def compose_scan(functions: np.ndarray) -> np.ndarray:
-    """Entry states of the chunks whose state functions are the rows of ``functions``, by parallel prefix doubling."""
-    scan = functions.copy()
+def compose_scan(functions: list[tuple[int, ...]]) -> np.ndarray:
+    """The state in which each chunk begins, from the chunks' functions, by parallel prefix doubling."""
+    scan = np.array(functions, dtype=np.int64).reshape(-1, STATES)
     step = 1
     while step < len(scan):
-        shifted = scan[:-step]
-        scan[step:] = np.take_along_axis(scan[step:], shifted, axis=1)
+        scan[step:] = np.take_along_axis(scan[step:], scan[:-step].copy(), axis=1)
         step *= 2
-    return np.concatenate([[OUT], scan[:-1, OUT]]).astype(np.int64)
+    return np.concatenate([[OUT], scan[:-1, OUT]])
 
 
 def spans(text: str, ends: list[int]) -> list[tuple[int, int]]:
@@ -283,22 +298,45 @@ def spans(text: str, ends: list[int]) -> list[tuple[int, int]]:
     return found
 
 
-def segment(text: str) -> list[tuple[int, int]]:
-    """Sentence spans of one text."""
-    return spans(text, run(text, 0, len(text), 0, OUT)[1])
+#: Code points of a chunk, and of a part that is read by one task.
+CHUNK, PART = 1 << 11, 1 << 20
+#: Code points on either side of a part that classify its marks. The later side goes on behind white space and stops.
+MARGIN = 512
 
 
-#: Code points of a chunk, and of the context on either side that classifies its marks.
-CHUNK = 1 << 16
-MARGIN = 512
+def _chunked(text: str, begin: int, stop: int, chunk: int) -> list[list[Event]]:
+    """The marks at positions ``begin <= p < stop`` by chunk."""
+    chunks: list[list[Event]] = [[] for _ in range(max(1, -(-(stop - begin) // chunk)))]
+    for event in symbols(text):
+        if event[0] >= stop:
+            break
+        if event[0] >= begin:
+            chunks[(event[0] - begin) // chunk].append(event)
+    return chunks
+
+
+def segment(text: str, chunk: int = CHUNK) -> list[tuple[int, int]]:
+    """Sentence spans of one text: its chunks as functions, composed, then the output of each chunk."""
+    chunks = _chunked(text, 0, len(text), chunk)
+    entry = compose_scan([function_of(c) for c in chunks]) if len(chunks) > 1 else [OUT]
+    return spans(text, [end for c, state in zip(chunks, entry) for end in outputs(c, state)])
+
+
+def _read_on(text: str, stop: int) -> int:
+    """Where the context of marks before ``stop`` ends: ``MARGIN`` behind the white space and stops there."""
+    end = stop
+    while end < len(text) and (text[end].isspace() or text[end] in ".!?…。！？｡．" + _ALWAYS):
+        end += 1
+    return min(len(text), end + MARGIN)
 
 
-def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, part: int = PART) -> DataFrame:
     """The sentences of every document: ``<id>``, ``sent_no``, ``text``, ``start_char``, ``end_char``.
 
     Offsets count code points of the stored text, ends are exclusive, white space around a sentence is outside.
-    Null, empty and blank texts and rows without id give no rows. Repeated rows give repeated sentences for texts of up to ``chunk`` code
-    points; longer documents are told apart by their id and text. Other columns are ignored.
+    Null, empty and blank texts and rows without id give no rows. Repeated rows give repeated sentences for texts of up to
+    ``part`` code points; longer documents are told apart by their id and text, and read by several tasks. The result is
+    the same for every ``chunk`` and ``part``. Other columns are ignored.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t")).where("__id is not null and __t is not null")
     id_type = rows.schema["__id"].dataType.simpleString()
@@ -309,69 +347,69 @@ def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = [
                 (i, k, t[a:b], a, b)
                 for i, t in zip(batch["__id"], batch["__t"])
-                for k, (a, b) in enumerate(segment(t))
+                for k, (a, b) in enumerate(segment(t, chunk))
             ]
             yield pd.DataFrame(out, columns=["__id", "sent_no", "text", "start_char", "end_char"])
 
-    few = rows.where(F.length("__t") <= chunk).mapInPandas(short, schema)
-    many = _long(rows.where(F.length("__t") > chunk), chunk)
+    few = rows.where(F.length("__t") <= part).mapInPandas(short, schema)
+    many = _long(rows.where(F.length("__t") > part), chunk, part)
     return few.unionByName(many).withColumnRenamed("__id", id_col)
 
 
-def _long(rows: DataFrame, chunk: int) -> DataFrame:
-    """Sentences of documents longer than one chunk."""
+def _long(rows: DataFrame, chunk: int, part: int) -> DataFrame:
+    """Sentences of documents longer than one part."""
     keyed = rows.withColumn("__key", F.xxhash64("__id", "__t"))
-    n = F.length("__t")
-    pieces = keyed.select(
-        "__key", "__t", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("no")
-    ).select(
-        "__key",
-        "no",
-        F.greatest(F.col("no") * chunk - MARGIN, F.lit(0)).alias("low"),
-        F.least((F.col("no") + 1) * chunk, n).alias("high"),
-        "__t",
-    )
-    pieces = pieces.select(
-        "__key", "no", "low", "high", F.expr(f"substring(__t, low + 1, high - low + {MARGIN})").alias("part")
-    )
-    runs = T.StructType(
-        [
-            T.StructField("to", T.ArrayType(T.IntegerType())),
-            T.StructField("ends", T.ArrayType(T.ArrayType(T.IntegerType()))),
-        ]
-    )
+    pieces_type = T.ArrayType(T.StructType([
+        T.StructField("no", T.IntegerType()), T.StructField("low", T.IntegerType()), T.StructField("begin", T.IntegerType()),
+        T.StructField("stop", T.IntegerType()), T.StructField("part", T.StringType()),
+    ]))
+    runs = T.StructType([T.StructField("function", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.ArrayType(T.IntegerType())))])
+
+    @F.pandas_udf(pieces_type)
+    def cut(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            rows = []
+            for no, begin in enumerate(range(0, len(t), part)):
+                low, stop = max(begin - MARGIN, 0), min(begin + part, len(t))
+                rows.append({"no": no, "low": low, "begin": begin - low, "stop": stop - low, "part": t[low : _read_on(t, stop)]})
+            out.append(rows)
+        return pd.Series(out)
 
     @F.pandas_udf(runs)
-    def read(no: pd.Series, low: pd.Series, high: pd.Series, part: pd.Series) -> pd.DataFrame:
-        to, ends = [], []
-        for k, lo, hi, t in zip(no, low, high, part):
-            by_state = [run(t, k * chunk - lo, hi - lo, int(lo), s) for s in range(STATES)]
-            to.append([x[0] for x in by_state])
-            ends.append([x[1] for x in by_state])
-        return pd.DataFrame({"to": to, "ends": ends})
-
-    done = pieces.select("__key", "no", read("no", "low", "high", "part").alias("r"))
+    def read(low: pd.Series, begin: pd.Series, stop: pd.Series, text: pd.Series) -> pd.DataFrame:
+        numbers, ends = [], []
+        for lo, a, b, t in zip(low, begin, stop, text):
+            chunks = _chunked(t, a, b, chunk)
+            whole: tuple[int, ...] = SAME
+            by_state: list[list[int]] = [[] for _ in range(STATES)]
+            for c in chunks:
+                f = function_of(c)
+                for s in range(STATES):
+                    by_state[s] += [int(lo) + e for e in outputs(c, whole[s])]
+                whole = tuple(f[s] for s in whole)
+            numbers.append(whole)
+            ends.append(by_state)
+        return pd.DataFrame({"function": numbers, "ends": ends})
+
+    done = keyed.dropDuplicates(["__key"]).select("__key", F.explode(cut("__t")).alias("p"))
+    done = done.select("__key", "p.no", read("p.low", "p.begin", "p.stop", "p.part").alias("r"))
 
     def scan(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("no")
-        entry = compose_scan(np.array(batch["to"].tolist(), dtype=np.int64))
+        entry = compose_scan([tuple(f) for f in batch["function"]])
         ends = [int(e) for s, per in zip(entry, batch["ends"]) for e in per[s]]
-        return pd.DataFrame({"__key": [batch["__key"].iloc[0]], "ends": [sorted(set(ends))]})
+        return pd.DataFrame({"__key": [batch["__key"].iloc[0]], "ends": [ends]})
 
-    ends = (
-        done.dropDuplicates(["__key", "no"])
-        .select("__key", "no", "r.to", "r.ends")
-        .groupBy("__key")
-        .applyInPandas(scan, "__key long, ends array<int>")
-    )
+    ends = done.select("__key", "no", "r.function", "r.ends").groupBy("__key").applyInPandas(scan, "__key long, ends array<int>")
 
     @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])))
-    def cut(text: pd.Series, at: pd.Series) -> pd.Series:
+    def between(text: pd.Series, at: pd.Series) -> pd.Series:
         return pd.Series([[{"a": a, "b": b} for a, b in spans(t, list(e))] for t, e in zip(text, at)])
 
     return (
         keyed.join(ends, "__key")
-        .select("__id", "__t", F.posexplode(cut("__t", "ends")).alias("sent_no", "s"))
+        .select("__id", "__t", F.posexplode(between("__t", "ends")).alias("sent_no", "s"))
         .select(
             "__id",
             "sent_no",
