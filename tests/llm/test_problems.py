@@ -232,6 +232,20 @@ def test_neighbours_recall(spark, max_bucket, levels):
     assert all(len(v) <= 5 for v in got.values())
 
 
+@pytest.mark.parametrize("max_bucket", [20_000, 100, 20])
+def test_neighbours_recall_of_default(spark, data, max_bucket):
+    """The shipped tables and probes, over the stored vectors."""
+    table = spark.read.parquet(f"{data}/sentence_vector.parquet")
+    x = clustered(2500, seed=11)
+    df = spark.createDataFrame([(10**9 + i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = neighbours.nearest(df.unionByName(table.select("vec_id", "embedding")), max_bucket=max_bucket).where("vec_id >= 1000000000").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.vec_id - 10**9, set()).add(r.other_id - 10**9)
+    true = brute_neighbours(x, 5)
+    assert sum(len(got.get(i, set()) & t) for i, t in enumerate(true)) / (5 * len(true)) >= 0.9
+
+
 def test_neighbours_recall_of_parted_cluster(spark):
     """A third of all vectors around one centre, in groups of near copies, parted at 2 % of the rows, as in production."""
     rng = np.random.default_rng(7)

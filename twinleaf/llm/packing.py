@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinleaf.sources.tables import spread
+from twinleaf.sources.tables import shuffle_width, spread
 from twinleaf.sources.work import written
 
 CAPACITY = 2048
@@ -76,20 +76,21 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 
 def _sized(docs: DataFrame, capacity: int, vocabulary: str) -> DataFrame:
-    """Items: whole documents, and the parts of those that exceed the capacity alone."""
+    """Items: whole documents, and the parts of those that exceed the capacity alone.
+
+    Documents are sized where they are read; only ids and sizes are shuffled, to keep one of the rows sent twice.
+    """
     rows = spread(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id")
 
     def size(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts = token_counts([t or "" for t in batch["text"]], vocabulary)
-            out = []
-            for d, n in zip(batch["doc_id"], counts):
-                for part, a in enumerate(range(0, max(n, 1), capacity)):
-                    b = min(a + capacity, n)
-                    out.append((d, part, a, b, b - a))
-            yield pd.DataFrame(out, columns=["doc_id", "part", "start_token", "end_token", "tokens"])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": token_counts([t or "" for t in batch["text"]], vocabulary)})
 
-    return rows.mapInPandas(size, "doc_id long, part int, start_token int, end_token int, tokens int")
+    once = rows.mapInPandas(size, "doc_id long, n int").groupBy("doc_id").agg(F.min("n").alias("n"))
+    starts = F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(capacity))
+    parts = once.select("doc_id", "n", F.posexplode(starts).alias("part", "start_token"))
+    end = F.least(F.col("start_token") + capacity, F.col("n"))
+    return parts.select("doc_id", "part", "start_token", end.alias("end_token"), (end - F.col("start_token")).alias("tokens"))
 
 
 ITEM = ["doc_id", "part", "start_token", "end_token", "tokens"]
@@ -116,9 +117,9 @@ def packed(
 
     A document is divided only if it alone exceeds ``capacity``; its full parts fill containers of their own. Documents
     without tokens (null or empty text) come out with container null. A document given twice is placed once; rows
-    without id are left out; extra columns are ignored. The result depends on ids and sizes only, not on partitions.
+    without id are left out; of rows of one id with different texts the shortest counts; extra columns are ignored. The result depends on ids and sizes only, not on partitions.
     """
-    items = written(_sized(docs.dropDuplicates(["doc_id"]), capacity, vocabulary), "items")
+    items = written(_sized(docs, capacity, vocabulary), "items")
     schema = "doc_id long, part int, start_token int, end_token int, tokens int, container_id string, fill int"
     empty = items.where("tokens = 0").select(*ITEM, F.lit(None).cast("string").alias("container_id"))
     todo = items.where("tokens > 0")
@@ -129,6 +130,8 @@ def packed(
         hashed = todo.withColumn("order", F.xxhash64("doc_id", "part", F.lit(number))).withColumn(
             "packer", F.pmod(F.xxhash64(F.lit(number), "doc_id", "part"), F.lit(packers))
         )
+        # A partition for every packer: rows are few and small, and would be read by one task otherwise.
+        hashed = hashed.repartition(min(packers, 4 * shuffle_width(docs.sparkSession)), "packer")
         out = written(hashed.groupBy("packer").applyInPandas(_packer(number, capacity), schema), "packed")
         if number == rounds or packers == 1:
             done.append(out.select(*ITEM, "container_id"))
