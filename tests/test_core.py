@@ -1,7 +1,11 @@
 """The comparison engine on small fixtures with worked-out results."""
 
+import collections
+import dataclasses
 import io
 import json
+import math
+import os
 import random
 import zipfile
 
@@ -13,7 +17,8 @@ from twinleaf.functions import text as tx
 from twinleaf.operators import matching, report, sentences, similarity
 from twinleaf.plans.compare import Comparison
 from twinleaf.plans.render import report_html, report_json
-from twinleaf.sources.files import accepted, expired, read_documents, reader_of
+from twinleaf.sources import work
+from twinleaf.sources.files import accepted, expired, read_documents, read_pages, reader_of
 from twinleaf.streaming import compare_arrivals
 
 
@@ -223,3 +228,73 @@ def test_stream_of_pairs(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     compare_arrivals(stream, units, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).first().overall_match == 100.0
+
+
+def test_vectors_in_the_comparison(spark):
+    units = [(1, 0, 0, "Rent is due."), (1, 1, 1, "Deposit paid."), (2, 0, 0, "The rent falls due."), (2, 1, 1, "Cats."), (3, 0, 0, "Alone.")]
+    df = spark.createDataFrame(units, "doc_id long, seq int, sent_id int, text string")
+    rows = [(1, 0, [1.0, 0.0]), (1, 1, [0.0, 2.0]), (2, 0, [3.0, 0.1]), (2, 1, [0.0, 0.0]), (2, 1, None), (3, 0, [1.0, 0.0, 0.0]), (1, None, [1.0, 1.0])]
+    vectors = spark.createDataFrame([*rows, rows[0]], "doc_id long, seq int, embedding array<float>")
+    pairs = spark.createDataFrame([(1, 1, 2), (2, 1, 3), (3, 1, 9)], "pair_id long, doc_id1 long, doc_id2 long")
+    c = Comparison(pairs, df, vectors=vectors)
+    assert [(r.pair_id, r.index1, r.index2) for r in c.matches.collect()] == [(1, 0, 0)]
+    assert [(r.pair_id, r.reason) for r in c.refused.collect()] == [(3, "document 2 is empty")]
+    assert Comparison(pairs, df, vectors=vectors.limit(0)).matches.count() == 0
+
+
+def test_vector_blocks_lose_nothing(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(d, q, [rng.gauss(0, 1) for _ in range(3)]) for d in (1, 2) for q in range(40)]
+    vectors = spark.createDataFrame(rows, "doc_id long, seq int, embedding array<double>")
+    pairs = spark.createDataFrame([(7, 1, 2)], "pair_id long, doc_id1 long, doc_id2 long")
+    whole = {(r.i, r.j, r.similarity) for r in similarity.vector_edges(pairs, vectors, 0.8).collect()}
+    monkeypatch.setattr(similarity, "VECTOR_BLOCK", 7)
+    assert whole == {(r.i, r.j, r.similarity) for r in similarity.vector_edges(pairs, vectors, 0.8).collect()} and len(whole) > 20
+    x, y = ([v for d, _, v in rows if d == k] for k in (1, 2))
+    cos = lambda a, b: sum(p * q for p, q in zip(a, b)) / math.sqrt(sum(p * p for p in a) * sum(q * q for q in b))
+    assert {(i, j) for i, j, _ in whole} == {(i, j) for i, a in enumerate(x) for j, b in enumerate(y) if cos(a, b) >= 0.8}
+
+
+def test_edges_against_all_pairs(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(12)] + ["the"] * 6
+    units = [(d, q, 0, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for d in (1, 2) for q in range(40)]
+    df = spark.createDataFrame(units, "doc_id long, seq int, sent_id int, text string")
+    pairs = spark.createDataFrame([(1, 1, 2)], "pair_id long, doc_id1 long, doc_id2 long")
+    got = {(r.i, r.j): r.similarity for r in similarity.similarity_edges(pairs, df, 0.7).collect()}
+    counts = {(d, q): collections.Counter(t.split()) for d, q, _, t in units}
+    norm = {k: sum(v * v for v in c.values()) for k, c in counts.items()}
+    true = {}
+    for i in range(40):
+        for j in range(40):
+            a, b = (1, i), (2, j)
+            dot = sum(n * counts[b][w] for w, n in counts[a].items())
+            if dot and dot / math.sqrt(norm[a] * norm[b]) >= 0.7:
+                true[i, j] = dot / math.sqrt(norm[a] * norm[b])
+    assert got == pytest.approx(true) and true
+
+
+def test_written_folders_are_removed(spark):
+    with work.cleared(spark):
+        place = work.written(spark.range(3), "kept").inputFiles()[0].removeprefix("file:")
+        assert os.path.exists(place)
+    assert not os.path.exists(place)
+
+
+def test_pages(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.pdf").write_bytes(b"one|two")
+    (tmp_path / "b.pdf").write_bytes(b"x" * 50)
+    (tmp_path / "c.png").write_bytes(b"scan")
+    rows = {(r.name, r.page_no): (r.text, r.error) for r in read_pages(spark, str(tmp_path)).collect()}
+    assert set(rows) == {("a.pdf", None), ("b.pdf", None), ("c.png", None)} and all(t is None and e for t, e in rows.values())
+    small = dataclasses.replace(DEFAULTS, max_upload_size=20)
+    rows = {r.name: r.error for r in read_pages(spark, str(tmp_path), small).collect()}
+    assert rows["b.pdf"] == "type or size not accepted" and "optional library" in rows["a.pdf"]
+
+
+def test_odd_characters_in_chunks(spark):
+    text = "One\x01two ends. Three\x01 is here! " + "Four five. Six"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "  ")], "doc_id long, text string")
+    rows = sentences.sentence_chunks(df).orderBy("seq").collect()
+    assert [r.text for r in rows] == ["One\x01two ends.", "Three\x01 is here!", "Four five.", "Six"]
+    assert all(text[r.start_char : r.end_char] == r.text for r in rows)

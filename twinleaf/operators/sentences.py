@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from twinleaf.config import DEFAULTS, Settings
 from twinleaf.functions.text import split_long, strip
 
-_MARK = "\x01"
-_BOUNDARY = r"([.!?]\s+)"
+#: A raw sentence: up to a stop and the white space behind it, or to the end.
+_SENTENCE = r"(?s).*?[.!?]\s+|.+\z"
 
 
 def sentence_chunks(docs: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -19,7 +19,7 @@ def sentence_chunks(docs: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     ``text``, ``start_char``, ``end_char``, ``length``, ``is_split``. Sentences below the least length are left out, those
     above the greatest are split; the parts share the offsets of their sentence. Null and blank texts give no rows.
     """
-    parts = F.split(F.regexp_replace("text", _BOUNDARY, f"$1{_MARK}"), _MARK)
+    parts = F.regexp_extract_all("text", F.lit(_SENTENCE), F.lit(0))
     raw = docs.select("doc_id", F.posexplode(parts).alias("pos", "part"))
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     placed = raw.withColumn("start_char", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)).cast("int"))

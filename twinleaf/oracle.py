@@ -158,6 +158,17 @@ rules AS (SELECT s.pair_id, s.overall_match, list_filter([
 rec AS (SELECT pair_id, CASE WHEN len(said) = 0 AND overall_match >= 98 THEN 'Documents match very closely. No significant issues detected.'
  ELSE array_to_string(said, ' | ') END AS recommendations FROM rules)"""
 
+# Edges by the stored vectors in place of words; everything behind them is the same.
+VECTOR_EDGES_CTE = f"""{UNITS},
+p AS (SELECT DISTINCT doc_id AS pair_id, (SELECT min(doc_id) FROM sentence_vector WHERE embedding IS NOT NULL) AS doc_id1, doc_id AS doc_id2
+ FROM sentence_vector WHERE embedding IS NOT NULL AND doc_id IS NOT NULL),
+v AS (SELECT doc_id, seq, min(embedding::double[]) AS x FROM sentence_vector
+ WHERE doc_id IS NOT NULL AND seq IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 GROUP BY ALL),
+vs AS (SELECT p.pair_id, a.seq AS i, b.seq AS j, round(list_cosine_similarity(a.x, b.x), 9) AS similarity
+ FROM p JOIN v a ON a.doc_id = p.doc_id1 JOIN v b ON b.doc_id = p.doc_id2 AND len(b.x) = len(a.x)),
+e AS (SELECT * FROM vs WHERE NOT isnan(similarity) AND similarity >= 0.7::double)"""
+VECTOR_MATCH_CTE = MATCH_CTE.replace(EDGES_CTE, VECTOR_EDGES_CTE)
+
 CHUNKS = f"""parts AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]\\s+)', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM documents WHERE text IS NOT NULL),
 raw AS (SELECT doc_id, k - 1 AS pos, ps[k] AS part FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS k FROM parts)),
 placed AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS start_char FROM raw),
@@ -172,7 +183,28 @@ def oracle_sql() -> dict[str, str]:
     u, m, f, e, g = (f"WITH {x} " for x in (UNITS, MATCHES, UPLOADS, EDGES_CTE, MATCH_CTE))
     image = "lower('.' || ext) IN ('.png', '.jpg', '.jpeg')"
     conf = f"CASE WHEN {image} THEN {quality('body')} ELSE 1.0::double END"
+    vectors = f"WITH {VECTOR_EDGES_CTE} "
+    report = g + """SELECT s.pair_id, s.overall_match, matched_sentences, significant_differences, status, confidence, coalesce(n, 0)::int AS n_differences,
+ reorderings_detected::int AS n_reorderings, coalesce(ts, '') AS difference_types, recommendations FROM summ s JOIN ver USING (pair_id) JOIN rec USING (pair_id)
+ LEFT JOIN (SELECT pair_id, count(*) AS n, string_agg(type, ',' ORDER BY place) AS ts FROM placed GROUP BY ALL) USING (pair_id)"""
     return {
+        "read_files": "SELECT doc_id, '.txt' AS ext, text || chr(10) AS text, false AS refused FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL",
+        "extract_payload": "SELECT doc_id, name AS filename, text, length(text)::int AS length, CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' ELSE text END AS preview FROM documents",
+        "engine_config": """SELECT 10485760 AS max_upload_size, '.pdf,.png,.jpg,.jpeg,.txt,.doc,.docx' AS allowed_extensions, 0.85::double AS similarity_threshold,
+ 0.7::double AS context_similarity, 2 AS context_window, 0.95::double AS minor_above, 0.85::double AS rewording_above, 500 AS max_sentence_length,
+ 3 AS min_sentence_length, 2 AS paragraph_gap, 0.7::double AS ocr_warning_at, 500 AS preview_length""",
+        "vector_edges": vectors + "SELECT pair_id, i, j, similarity FROM e",
+        "vector_match": f"WITH {VECTOR_MATCH_CTE} SELECT pair_id, match_rank, index1, index2, similarity, exact_match, normalized_match FROM mm",
+        "refused_pairs": f"""WITH {UNITS}, {PAIRS}, {SIZES} SELECT pair_id, concat_ws(', ', CASE WHEN n1 = 0 THEN 'document 1 is empty' END,
+ CASE WHEN n2 = 0 THEN 'document 2 is empty' END) AS reason FROM z WHERE n1 = 0 OR n2 = 0""",
+        "moved_sentences": m
+        + """, r AS (SELECT * REPLACE (max(index2) OVER (PARTITION BY pair_id) - index2 AS index2) FROM m)
+ SELECT pair_id, match_rank, index1 AS expected_position, index2 AS actual_position, index2 - index1 AS displacement FROM r WHERE abs(index1 - index2) > 4""",
+        "json_fields": report,
+        "html_parts": g
+        + """SELECT pair_id, CASE WHEN coalesce(n, 0) > 0 THEN n + 1 ELSE 0 END::int AS table_rows,
+ matched_sentences || ' of ' || greatest(total_sentences_doc1, total_sentences_doc2) || ' sentences matched' AS matched
+ FROM summ LEFT JOIN (SELECT pair_id, count(*) AS n FROM diffs GROUP BY ALL) USING (pair_id)""",
         "clean_text": f"SELECT doc_id, {clean('text')} AS clean FROM documents",
         "ocr_quality": f"SELECT doc_id, {quality('text')} AS quality FROM documents WHERE text IS NOT NULL",
         "extract_confidence": f"""WITH {UNITS}, {UPLOADS}, b AS (SELECT f.doc_id, ext, coalesce(string_agg(text, chr(10) ORDER BY seq), '') AS body
@@ -234,10 +266,7 @@ def oracle_sql() -> dict[str, str]:
         "report_summary": g + "SELECT * FROM summ",
         "verdict": g + "SELECT pair_id, status, message, color, confidence FROM ver",
         "recommendations": g + "SELECT * FROM rec",
-        "comparison_report": g
-        + """SELECT s.pair_id, s.overall_match, matched_sentences, significant_differences, status, confidence, coalesce(n, 0)::int AS n_differences,
- reorderings_detected::int AS n_reorderings, coalesce(ts, '') AS difference_types, recommendations FROM summ s JOIN ver USING (pair_id) JOIN rec USING (pair_id)
- LEFT JOIN (SELECT pair_id, count(*) AS n, string_agg(type, ',' ORDER BY place) AS ts FROM placed GROUP BY ALL) USING (pair_id)""",
+        "comparison_report": report,
         "similar_text_groups": u
         + f"SELECT {norm('text')} AS normalized, count(*) AS units, count(DISTINCT doc_id) AS documents FROM u GROUP BY 1 HAVING count(*) > 1",
     }

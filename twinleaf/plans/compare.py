@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -17,27 +18,45 @@ from twinleaf.sources.work import written
 class Comparison:
     """All results for ``pairs`` (``pair_id``, ``doc_id1``, ``doc_id2``) over ``units`` (``doc_id``, ``seq``, ``sent_id``, ``text``).
 
-    Pairs with a null id are left out; a pair given twice counts once. Edges, matches, differences and the summary are
-    written once and read by everything behind them.
+    Pairs with a null id are left out; a pair given twice counts once. With ``vectors`` (``doc_id``, ``seq``, ``embedding``,
+    from a sentence model of one's own) units are compared by these, else by their words. The units of the pairs, edges,
+    matches, differences and the summary are written once, when first asked for, and read by everything behind them.
     """
 
-    def __init__(self, pairs: DataFrame, units: DataFrame, cfg: Settings = DEFAULTS):
+    def __init__(self, pairs: DataFrame, units: DataFrame, cfg: Settings = DEFAULTS, vectors: DataFrame | None = None):
         self.cfg = cfg
+        self.vectors = vectors
         self.pairs = (
             pairs.select("pair_id", "doc_id1", "doc_id2")
             .where("pair_id is not null and doc_id1 is not null and doc_id2 is not null")
             .dropDuplicates(["pair_id"])
         )
-        self.units = units.select("doc_id", "seq", "sent_id", "text")
+        self._units = units.select("doc_id", "seq", "sent_id", "text")
 
     @classmethod
-    def of_documents(cls, pairs: DataFrame, docs: DataFrame, cfg: Settings = DEFAULTS) -> Comparison:
-        """For whole texts: ``docs`` has ``doc_id`` and ``text``; they are cut into sentences first."""
-        return cls(pairs, written(sentence_chunks(docs, cfg), "chunks"), cfg)
+    def of_documents(
+        cls, pairs: DataFrame, docs: DataFrame, cfg: Settings = DEFAULTS, segmenter: Callable[[DataFrame, Settings], DataFrame] = sentence_chunks
+    ) -> Comparison:
+        """For whole texts: ``docs`` has ``doc_id`` and ``text``; ``segmenter`` cuts them into sentences first."""
+        return cls(pairs, segmenter(docs, cfg), cfg)
+
+    @cached_property
+    def units(self) -> DataFrame:
+        """The units of the documents that are compared."""
+        used = self.pairs.select(F.col("doc_id1").alias("doc_id")).union(self.pairs.select("doc_id2")).distinct()
+        return written(self._units.join(used, "doc_id", "left_semi"), "units")
+
+    @cached_property
+    def refused(self) -> DataFrame:
+        """``pair_id`` and ``reason`` of the pairs of which a document holds no text."""
+        sides = [F.when(F.col(f"n{k}") == 0, F.lit(f"document {k} is empty")) for k in (1, 2)]
+        return self.sizes.where("n1 = 0 or n2 = 0").select("pair_id", F.concat_ws(", ", *sides).alias("reason"))
 
     @cached_property
     def edges(self) -> DataFrame:
         """All unit pairs at or above the context similarity."""
+        if self.vectors is not None:
+            return written(similarity.vector_edges(self.pairs, self.vectors, self.cfg.context_similarity), "edges")
         return written(similarity.similarity_edges(self.pairs, self.units, self.cfg.context_similarity), "edges")
 
     @cached_property

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinleaf.config import DEFAULTS
@@ -14,7 +16,8 @@ from twinleaf.oracle import oracle_sql  # noqa: F401
 from twinleaf.plans.compare import Comparison
 from twinleaf.plans.render import report_html, report_json
 from twinleaf.sources import table
-from twinleaf.sources.files import accepted, expired, reader_of
+from twinleaf.sources.files import accepted, expired, read_documents, reader_of
+from twinleaf.sources.work import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -150,8 +153,34 @@ def reader_dispatch(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def retention_listing(spark: SparkSession, d: str) -> DataFrame:
     rows = _uploads(spark, d)
-    now = rows.agg(F.max("uploaded_at")).first()[0]
-    return expired(rows, "uploaded_at", F.lit(now), 24.0).select("doc_id", "uploaded_at")
+    now = rows.agg(F.max("uploaded_at")).scalar()
+    return expired(rows, "uploaded_at", now, 24.0).select("doc_id", "uploaded_at")
+
+
+@_query
+def read_files(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with a text as files of the shared folder, read back."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    docs = _docs(spark, d).where("doc_id is not null and text is not null")
+    docs.write.partitionBy("doc_id").text(folder)
+    rows = read_documents(spark, folder)
+    doc_id = F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long")
+    return rows.where("ext = '.txt'").select(doc_id.alias("doc_id"), "ext", "text", F.col("error").isNotNull().alias("refused"))
+
+
+@_query
+def extract_payload(spark: SparkSession, d: str) -> DataFrame:
+    """What an extraction returns: file name, text, length and preview."""
+    t = F.col("text")
+    rows = table(spark, d, "documents").select("doc_id", F.col("name").alias("filename"), "text")
+    return rows.select("doc_id", "filename", "text", F.length(t).alias("length"), tx.preview(t).alias("preview"))
+
+
+@_query
+def engine_config(spark: SparkSession, d: str) -> DataFrame:
+    """The settings in one row."""
+    values = asdict(DEFAULTS) | {"allowed_extensions": ",".join(DEFAULTS.allowed_extensions)}
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
 
 
 # Sentences
@@ -195,6 +224,29 @@ def similarity_edges(spark: SparkSession, d: str) -> DataFrame:
     return _comparison(spark, d).edges
 
 
+def _by_vectors(spark: SparkSession, d: str) -> Comparison:
+    """Every upload that has stored vectors against the first of them, compared by these. The pairs asked for have none."""
+    vectors = table(spark, d, "sentence_vector")
+    ids = vectors.where("embedding is not null and doc_id is not null").select("doc_id").distinct()
+    pairs = ids.select(F.col("doc_id").alias("pair_id"), ids.agg(F.min("doc_id")).scalar().alias("doc_id1"), F.col("doc_id").alias("doc_id2"))
+    return Comparison(pairs, _units(spark, d), vectors=vectors)
+
+
+@_query
+def vector_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _by_vectors(spark, d).edges
+
+
+@_query
+def vector_match(spark: SparkSession, d: str) -> DataFrame:
+    return _by_vectors(spark, d).matches.drop("text1", "text2")
+
+
+@_query
+def refused_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _comparison(spark, d).refused
+
+
 @_query
 def threshold_edges(spark: SparkSession, d: str) -> DataFrame:
     return _comparison(spark, d).edges.where(F.col("similarity") >= DEFAULTS.similarity_threshold)
@@ -262,6 +314,14 @@ def stored_reorderings(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("pair_id", "match_rank", "expected_position", "actual_position", "displacement")
 
 
+@_query
+def moved_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The stored matches with the second document read from its end: nearly all have moved."""
+    last = F.max("index2").over(Window.partitionBy("pair_id"))
+    turned = _matches(spark, d).withColumn("index2", last - F.col("index2"))
+    return report.reorderings(turned).select("pair_id", "match_rank", "expected_position", "actual_position", "displacement")
+
+
 def _listed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"suggestions": F.array_join("suggestions", " | "), "similarity": F.round("similarity", 9)})
 
@@ -313,6 +373,29 @@ def report_as_html(spark: SparkSession, d: str) -> DataFrame:
     return report_html(_comparison(spark, d).report(), table(spark, d, "doc_pair"))
 
 
+@_query
+def json_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON report read back: the figures of its parts."""
+    reports = _comparison(spark, d).report()
+    like = reports.drop("pair_id").schema
+    r = report_json(reports).select("pair_id", F.from_json("report", like).alias("r"))
+    return r.select(
+        "pair_id", "r.summary.overall_match", "r.summary.matched_sentences", "r.summary.significant_differences", "r.verdict.status",
+        "r.verdict.confidence", F.size("r.differences").alias("n_differences"), F.size("r.reorderings").alias("n_reorderings"),
+        F.array_join(F.transform("r.differences", lambda x: x["type"]), ",").alias("difference_types"),
+        F.array_join("r.recommendations", " | ").alias("recommendations"),
+    )
+
+
+@_query
+def html_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of the pages: rows of the table of differences, and how many sentences were matched."""
+    page = F.col("html")
+    rows = report_html(_comparison(spark, d).report(), table(spark, d, "doc_pair"))
+    matched = F.regexp_extract(page, ", ([0-9]+ of [0-9]+ sentences matched)</p>", 1)
+    return rows.select("pair_id", F.regexp_count(page, F.lit("<tr>")).alias("table_rows"), matched.alias("matched"))
+
+
 @_query
 def similar_text_groups(spark: SparkSession, d: str) -> DataFrame:
     """Units of equal normalized text: one row per text with its number of units and documents."""

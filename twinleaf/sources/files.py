@@ -77,43 +77,60 @@ def _pdf_pages(content: bytes) -> list[str]:
     return pages
 
 
+#: By reader: the pages of a file.
 READERS = {
-    "text": lambda c: c.decode("utf-8"),
-    "word": word_text,
-    "image": _image_text,
-    "pdf": lambda c: "\n\n".join(_pdf_pages(c)),
+    "text": lambda c: [c.decode("utf-8")],
+    "word": lambda c: [word_text(c)],
+    "image": lambda c: [_image_text(c)],
+    "pdf": _pdf_pages,
 }
 
 
-def read_documents(spark: SparkSession, path: str, cfg: Settings = DEFAULTS) -> DataFrame:
-    """The files under ``path``: ``name``, ``ext``, ``length``, ``text``, ``error``.
+def read_pages(spark: SparkSession, path: str, cfg: Settings = DEFAULTS) -> DataFrame:
+    """The files under ``path``: ``path``, ``name``, ``ext``, ``length``, ``page_no`` (from 1), ``text``, ``error``.
 
-    Files of other types or above the size limit, and those that can't be read, have null text and the reason in
-    ``error``. Text files are taken as they are, the others cleaned.
+    Only accepted files are opened: type and size are tested on the listing. The others, and files that can't be read,
+    come out as one row with null page and text and the reason in ``error``.
     """
-    files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    rows = files.select(name.alias("name"), suffix(name).alias("ext"), "length", "content").withColumn(
-        "reader", F.when(accepted(F.col("name"), F.col("length"), cfg), reader_of(F.col("ext")))
-    )
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = listed.withColumn("name", name).withColumn("ext", suffix(name))
+    good = accepted(F.col("name"), F.col("length"), cfg)
+    refused = listed.where(~good).select(
+        "path", "name", "ext", "length", F.lit(None).cast("int").alias("page_no"), F.lit(None).cast("string").alias("text"),
+        F.lit("type or size not accepted").alias("error"),
+    )
+    # The size is tested apart, since the listing applies it before a file is read.
+    opened = listed.where(F.col("length") <= cfg.max_upload_size).where(good).withColumn("reader", reader_of(F.col("ext")))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                text = error = None
-                if r.reader is None:
-                    error = "type or size not accepted"
-                else:
-                    try:
-                        text = READERS[r.reader](r.content)
-                    except Exception as e:
-                        error = f"{type(e).__name__}: {e}"
-                out.append((r.name, r.ext, r.length, text, error))
-            yield pd.DataFrame(out, columns=["name", "ext", "length", "raw", "error"])
-
-    texts = rows.mapInPandas(read, "name string, ext string, length long, raw string, error string")
-    return texts.select("name", "ext", "length", F.when(F.col("ext") == ".txt", F.col("raw")).otherwise(clean_text(F.col("raw"))).alias("text"), "error")
+                try:
+                    pages = READERS[r.reader](r.content)
+                    out += [(r.path, r.name, r.ext, r.length, k, t, None) for k, t in enumerate(pages, 1)]
+                except Exception as e:
+                    out.append((r.path, r.name, r.ext, r.length, None, None, f"{type(e).__name__}: {e}"))
+            rows = pd.DataFrame(out, columns=["path", "name", "ext", "length", "page_no", "text", "error"])
+            yield rows.astype({"page_no": "Int64"})
+
+    schema = "path string, name string, ext string, length long, page_no int, text string, error string"
+    return opened.select("path", "name", "ext", "length", "content", "reader").mapInPandas(read, schema).unionByName(refused)
+
+
+def read_documents(spark: SparkSession, path: str, cfg: Settings = DEFAULTS) -> DataFrame:
+    """The files under ``path``: ``path``, ``name``, ``ext``, ``length``, ``text``, ``error``.
+
+    Pages are joined by blank lines. Text files are taken as they are, the others cleaned. Files of other types or above
+    the size limit, and those that can't be read, have null text and the reason in ``error``.
+    """
+    page = F.when(F.col("page_no").isNotNull(), F.struct("page_no", "text"))
+    rows = read_pages(spark, path, cfg).groupBy("path", "name", "ext", "length").agg(
+        F.array_sort(F.collect_list(page)).alias("pages"), F.first("error").alias("error")
+    )
+    raw = F.when(F.col("error").isNull(), F.array_join(F.transform("pages", lambda p: p["text"]), "\n\n"))
+    return rows.select("path", "name", "ext", "length", F.when(F.col("ext") == ".txt", raw).otherwise(clean_text(raw)).alias("text"), "error")
 
 
 def expired(files: DataFrame, modified: str, now: Column, hours: float = 24) -> DataFrame:
