@@ -255,7 +255,7 @@ def test_vector_blocks_lose_nothing(spark, monkeypatch):
     assert {(i, j) for i, j, _ in whole} == {(i, j) for i, a in enumerate(x) for j, b in enumerate(y) if cos(a, b) >= 0.8}
 
 
-def test_edges_against_all_pairs(spark):
+def test_edges_of_common_words(spark):
     rng = random.Random(3)
     words = [f"w{k}" for k in range(12)] + ["the"] * 6
     units = [(d, q, 0, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for d in (1, 2) for q in range(40)]
