@@ -47,6 +47,10 @@ def words(x: str) -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": "SELECT DISTINCT doc_id, seq FROM sentence WHERE length(text) > 500",
+        "p1_rules": "SELECT doc_id, seq, true AS within_limit, true AS overlapping, true AS rebuilt FROM sentence WHERE length(text) > 500 GROUP BY doc_id, seq",
+        "p2_rules": "SELECT doc_id, true AS in_order, true AS as_stored, true AS whole FROM documents"
+        " WHERE regexp_matches(text, '[^\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]') GROUP BY doc_id",
+        "p6_rules": "SELECT count(DISTINCT doc_id) AS documents, 0::bigint AS miscounted, 0::bigint AS needless, 0::bigint AS overfull FROM documents",
         "p3_found": f"SELECT DISTINCT match_id FROM sentence_match WHERE NOT exact_match AND {consistent('sent1.text')} = {consistent('sent2.text')}",
         "p3_matches": f"""WITH m AS (SELECT match_id, any_value({consistent('sent1.text')}) AS text1, any_value({consistent('sent2.text')}) AS text2,
  any_value(exact_match) AS stored_exact, any_value(normalized_match) AS stored_normalized FROM sentence_match GROUP BY match_id),

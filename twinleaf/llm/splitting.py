@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinleaf.sources.tables import shuffle_width
+
 #: Penalty of a cut by what ends before it; the strongest boundary at a position counts.
 PENALTIES = (
     (re.compile(r"\n\s*\n\s*"), 0.0),
@@ -123,8 +125,9 @@ def split_oversized(
     text: Column = F.col(f"`{text_col}`")
     over = F.coalesce(F.length(text) > max_len, F.lit(False))
     # posexplode keeps the order of the array; the struct holds start and end.
+    # Oversized texts are few and heavy: without an own spreading few tasks would cut them all.
     long = (
-        kept.where(over)
+        kept.where(over).repartition(shuffle_width(df.sparkSession), F.xxhash64(text))
         .select("*", F.posexplode(pieces(text)).alias("__no", "__p"))
         .select(
             *[F.col(f"`{c}`") for c in kept.columns],
