@@ -10,12 +10,12 @@ def q(s: str) -> str:
 # The same print by code point, stated apart from the operator's own tables.
 _FROM = (
     "АВЕІЈКМНОРСЅТУХҮԚԜԀӀасԁеһіјӏорԛѕѵԝхуүΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿονϲϳιρ"
-    "ЀЁЇѐёїΪΫϊόίΌΊΆΈΉΎ"
+    "ЀЁЇѐёїӒӓӦӧӰӱΪΫϊόίΌΊΆΈΉΎ"
     "‐‑﹣‧"
 )
 _TO = (
     "ABEIJKMHOPCSTYXYQWDIacdehijlopqsvwxyyABEZHIKMNOPTYXCJovcjip"
-    "ÈËÏèëïÏŸïóíÓÍÁÉÍÝ"
+    "ÈËÏèëïÄäÖöŸÿÏŸïóíÓÍÁÉÍÝ"
     "---·"
 )
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
@@ -28,7 +28,7 @@ def consistent(x: str) -> str:
     """The consistent form, letter by letter: look-alikes, widths and blanks replaced, invisible characters removed."""
     before = _FROM + _WIDE + _BLANK
     after = _TO + "".join(map(chr, range(0x21, 0x7F))) + " " * len(_BLANK)
-    out = f"translate(nfc_normalize({x}), {q(before)}, {q(after)})"
+    out = f"translate({x}, {q(before)}, {q(after)})"
     for k, v in _LIGATURES.items():
         out = f"replace({out}, {q(k)}, {q(v)})"
     return f"nfc_normalize(regexp_replace({out}, {q(_GONE)}, '', 'g'))"
