@@ -183,12 +183,21 @@ def nearest(
             )
 
     usable = rows.mapInPandas(units, "vec_id long, unit binary, same binary").withColumn("same", F.xxhash64("same"))
-    # Rows sent twice have the same id and vector. The rank keeps the first k + 1 ids of a direction only.
-    usable = written(usable.dropDuplicates(["vec_id"]), "units")
-    ranked = usable.withColumn("rank", F.row_number().over(Window.partitionBy("same").orderBy("vec_id")))
-    first = written(ranked.where(F.col("rank") <= k + 1), "firsts")
-    reps = first.where("rank = 1").select("same", "unit")
-    few = first.groupBy("same").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    # Rows sent twice have the same id and vector. Ids and directions that stand more than once are found by their keys;
+    # only the vectors of those are shuffled.
+    held = written(usable, "usable")
+    twice = written(held.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id"), "twice")
+    once = held.join(twice, "vec_id", "left_anti").unionByName(held.join(twice, "vec_id", "left_semi").dropDuplicates(["vec_id"]))
+    # The first k + 1 ids of a direction; the rank holds no more of them.
+    ids = once.select("vec_id", "same")
+    several = written(ids.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("same"), "several")
+    by_id = Window.partitionBy("same").orderBy("vec_id")
+    ranked = ids.join(several, "same", "left_semi").withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= k + 1)
+    crowd = written(ranked.groupBy("same").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "crowds")
+    single = once.join(several, "same", "left_anti")
+    first = once.join(crowd.select(F.get("ids", F.lit(0)).alias("vec_id")), "vec_id", "left_semi")
+    reps = single.unionByName(first).select("same", "unit")
+    few = single.select("same", F.array("vec_id").alias("ids")).unionByName(crowd)
 
     hashing = Hashing(dim, tables, levels)
     hot, blocks = _hot_paths(reps, hashing, max_bucket)
@@ -244,6 +253,7 @@ def nearest(
         reps.mapInPandas(placed, "bucket string, held boolean, same long, unit binary")
         .groupBy("bucket")
         .applyInPandas(ranked_in_bucket, "same long, other long, similarity double")
+        .repartition("same")  # one shuffle for the pairs and for the lists
         .groupBy("same", "other")
         .agg(F.max("similarity").alias("similarity"))
     )
@@ -254,7 +264,7 @@ def nearest(
     size = F.size("ids")
     # Members of a direction with more than k ids have their whole list there.
     crowded = few.where(size > k).select("same", "ids", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    members = usable.select("vec_id", "same")
+    members = ids
     in_crowd = (
         members.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
         .join(crowded, ["same", "salt"])
