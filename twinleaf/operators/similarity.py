@@ -38,22 +38,16 @@ def unit_words(units: DataFrame, least: float) -> DataFrame:
     terms = term_counts(units)
     held = terms.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
     common = held.orderBy(F.desc("held"), "token").limit(COMMON_WORDS)
-    rank = F.coalesce("held", F.lit(0))
-    entry = F.struct(rank.alias("rank"), "token", F.col("tf").cast("long").alias("tf"))
-    rows = terms.join(F.broadcast(common), "token", "left").groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(entry)).alias("w"))
-    norm2 = F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + x["tf"] * x["tf"])
-    rows = rows.withColumn("norm2", norm2)
-    # The squares still to come, word by word.
-    step = F.aggregate(
-        "w",
-        F.struct(F.col("norm2").alias("rest"), F.array().cast("array<string>").alias("leads")),
-        lambda s, x: F.struct(
-            (s["rest"] - x["tf"] * x["tf"]).alias("rest"),
-            F.when(s["rest"] >= F.col("norm2") * F.lit(least * least - 1e-9), F.array_append(s["leads"], x["token"])).otherwise(s["leads"]).alias("leads"),
-        ),
-    )
-    words = F.map_from_entries(F.transform("w", lambda x: F.struct(x["token"], x["tf"])))
-    return rows.select("doc_id", "seq", words.alias("words"), "norm2", step["leads"].alias("leads"))
+    ranked = terms.join(F.broadcast(common), "token", "left").withColumn("rank", F.coalesce("held", F.lit(0)))
+    unit = Window.partitionBy("doc_id", "seq")
+    square = F.col("tf") * F.col("tf")
+    before = F.coalesce(F.sum(square).over(unit.orderBy("rank", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = ranked.withColumn("before", before).withColumn("norm2", F.sum(square).over(unit))
+    leads = F.col("norm2") - F.col("before") >= F.col("norm2") * F.lit(least * least - 1e-9)
+    return rows.groupBy("doc_id", "seq").agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "tf"))).alias("words"), F.first("norm2").alias("norm2"),
+        F.collect_list(F.when(leads, F.col("token"))).alias("leads"),
+    )
 
 
 def similarity_edges(pairs: DataFrame, units: DataFrame, least: float) -> DataFrame:
