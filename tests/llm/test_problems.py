@@ -630,4 +630,11 @@ def test_residue_tells_sentences_from_their_like(spark):
     ends = "amended assigned divided let sold valued insured leased moved shared split taxed".split()
     df = texts(spark, ["The file here could not be opened.", *[f"The file here could not be {w}." for w in ends * 4]])
     rows = residue.template_residue(df).collect()
-    assert {r.doc_id: r.kind for r in rows if r.doc_id == 0} == {0: "error"} and len(rows) <= 5
+    assert {r.doc_id: r.kind for r in rows} == {0: "error"}
+
+
+def test_residue_of_overlapping_templates(spark):
+    # The wildcards of the first message match words of the second, which has the better verdict of its own.
+    df = texts(spark, ["Error in page 1 2 3.", "Error in page enable javascript now."])
+    rows = residue.template_residue(df).collect()
+    assert {r.doc_id: r.kind for r in rows} == {0: "error", 1: "script"}

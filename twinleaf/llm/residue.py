@@ -69,6 +69,8 @@ STATES = set(
     "encontrada encontrado encontró pudo caducado denegado bloqueado trovata trovato scaduta negato "
     "не найдена найден недоступен недоступна запрещён истекла".split()
 )
+#: What could not be done, where a notice says so.
+OUTCOMES = set("shown opened displayed loaded delivered found read reached processed completed accessed saved sent connected verified".split())
 PLEAS = set("sorry oops whoops oh désolé désolés entschuldigung hoppla lo sentimos spiacenti human robot captcha извините".split())
 ACTS = set(
     "enable enabled activate active activer activez aktivieren sie einschalten turn switch switched allow allowed required need needs "
@@ -79,7 +81,7 @@ ACTS = set(
     "veuillez merci afficher voir lire recharger bitte um anzuzeigen anzeigen angeforderte wurde laden später erneut versuchen "
     "para ver este abrir leer favor intente nuevo más tarde recargue per visualizzare ricarica "
     "включите включить обновите browser browsers navigateur navegador brauser neu браузер".split()
-) | SCRIPT_WORDS | ERROR_NOUNS | ERROR_KINDS | STATUS | THINGS | STATES | PLEAS
+) | SCRIPT_WORDS | ERROR_NOUNS | ERROR_KINDS | STATUS | THINGS | STATES | OUTCOMES | PLEAS
 #: Words that any running text of its language holds.
 FUNCTION_WORDS = set(
     "the of and to in is that for with be by from a an it its this these those has have had been was were are at as or but if "
@@ -309,9 +311,9 @@ def verdict(template: str) -> str | None:
         return "script"
     if _names_error(words) or (all(w in STATUS or w == ANY for w in words) and held & {"found", "gone", "forbidden", "unauthorized", "unavailable", "gateway", "requests", "error"}):
         return "error"
-    if held & {"cannot", "could", "couldn't", "can't"} and held & {"shown", "opened", "displayed", "loaded", "delivered", "found", "read"}:
-        return "error"
-    if held & PLEAS or (held & THINGS and held & STATES and n > 1 and len(held & ACTS) >= 2):
+    unable = held & {"cannot", "could", "couldn't", "can't"}
+    in_state = held & THINGS and held & STATES and n > 1 and len(held & ACTS) >= 2
+    if held & PLEAS or (held & OUTCOMES if unable else in_state):
         return "error"
     if covered == 1.0 and held & ACTS and n <= 12:
         return "tail"
