@@ -362,6 +362,37 @@ def test_word_counts_in_parts(spark, monkeypatch):
     assert len(tables) == 3 and sum(t.loc[t.gram == "rent", "n"].sum() for t in tables) == 300
 
 
+def test_scan_repair_with_rare_words(spark, monkeypatch):
+    # Whether words and pairs are sent to all workers or looked up for the text that asks for them changes nothing.
+    units, _ = scan_tables(spark)
+    odd = ["The dep|0sit of the ten-\nant and the land-\nlo-\nrd is in the annnex of 2O31.", "the boun‑\ndary wal1 | of the third-\nparty-\nbuyer~", "\n \nINVENT0RY lis+ of the ernpl0yer."]
+    rows = [(99, 5000 * k + q, t, q, q, None) for k in (1, 2) for q, t in enumerate(odd)]
+    units = units.unionByName(spark.createDataFrame(rows, units.schema))
+    told = {}
+    for kept in (0.0, 1e-3, 1.0):
+        monkeypatch.setattr(scans, "KEPT", kept)
+        told[kept] = sorted(scans.repaired_units(units).collect(), key=lambda r: (r.doc_id, r.seq))
+    assert sum(r.misread for r in told[0.0]) >= 5 and any("deposit" in r.text for r in told[1.0])
+    assert told[0.0] == told[1e-3] == told[1.0]
+
+
+LETTERS = "abcdeghilmnorstuvwz013!@|$€+~-ñя"
+
+
+@given(st.text(LETTERS, min_size=1, max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_rare_words_are_found_by_their_keys(word):
+    reached = scans.Channel._reached(word)
+    keys = set(scans.skeletons(word))
+    assert all(scans.skeleton(x) in keys for x in reached)
+    near = {word[:k] + c + word[k + 1 :] for k in range(len(word)) for c in "aeя"} | {word[:k] + c + word[k:] for k in range(len(word) + 1) for c in "aeя"} | {word[:k] + word[k + 1 :] for k in range(len(word))}
+    known = dict.fromkeys((near | set(list(reached)[:200])) - {word, ""}, 9)
+    usual, rare = scans.Channel(1000, known, {}), scans.Channel(1000, {}, {})
+    rare.take(known)
+    for name in ("r", "e") if word.isalpha() else ("r",):
+        assert rare._remembered(name, word) == usual._remembered(name, word)
+
+
 def test_edits_are_all_near_words():
     words = dict.fromkeys("tenant tenants tonant rental entire tenan café cafés".split(), 9)
     channel = scans.Channel(1000, words, {})

@@ -8,6 +8,8 @@ words of each line of text.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
 import unicodedata
@@ -15,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +42,17 @@ MALFORMED = math.log(1e-7)
 _MALFORMED = re.compile(r"[^\W\d_][^\s]*[\d!@+|~^¦$€£]|[\d!@+|~^¦$€£][^\s]*[^\W\d_]")
 DIGITS = {"l": "1", "I": "1", "|": "1", "O": "0", "o": "0", "S": "5", "B": "8", "Z": "2"}
 NUMBER = "<num>"
-#: Share of all words that a word or a pair must have to be kept: at most 1 / KEPT words and pairs are sent out.
+#: Share of all words from which a word or a pair is sent to every worker, so at most 1 / KEPT of each; the rarer ones are looked
+#: up for the text that asks for them.
 KEPT = 2e-6
+#: A form seen fewer times is no known word: a misread form would vouch for itself.
 LEAST = 3
 #: Reversed confusions tried at once in one word.
 OPS = 3
+#: Words of more characters are left as they are.
+LONGEST = 40
+#: Begins the keys of edits; no skeleton has a blank.
+EDITED = " "
 #: Words of which a worker remembers what they may stand for, and tokens of which it remembers the counted form.
 REMEMBERED = 200_000
 #: Words and pairs that a worker counts before it hands the counts over.
@@ -118,8 +127,50 @@ def counted_form(token: str) -> str:
     return gram(w) if w and not _ASIAN.search(w) else ""
 
 
+#: Characters by what the channel may take for each other, in the smallest parts: what is reached by any number of reversed
+#: confusions has the same skeleton. ``|`` is a speck or a letter and stays; hyphens go since joins may add them.
+_SKELETON = str.maketrans(
+    dict.fromkeys((set(SPECKS) - {"|"}) | {"-", "\u00ad"})
+    | {c: to for to, of in (("i", "1l!"), ("o", "0"), ("a", "@4"), ("s", "5$"), ("b", "968gh"), ("t", "+7"), ("c", "e€£3"), ("z", "2")) for c in of}
+    | {"m": "iii", "n": "ii", "u": "ii", "d": "ci", "w": "vv", "ς": "σ"}
+)
+_BEFORE_I = re.compile("r+(?=i)")
+
+
+def skeleton(word: str) -> str:
+    """What stays the same of a counted form under all reversed confusions, but for ``|``."""
+    return _BEFORE_I.sub(lambda m: "i" * len(m[0]), word.translate(_SKELETON))
+
+
+@functools.lru_cache(REMEMBERED // 4)
+def skeletons(printed: str) -> tuple[str, ...]:
+    """The skeletons of what ``printed`` may stand for: no more than ``OPS`` of its ``|`` are specks or letters."""
+    bars = [i for i, c in enumerate(printed) if c == "|"] if len(printed) <= LONGEST else []
+    out = {skeleton(printed)}
+    for k in range(1, min(OPS, len(bars)) + 1):
+        for chosen in itertools.combinations(bars, k):
+            for put in itertools.product(("", "i"), repeat=k):
+                at = dict(zip(chosen, put))
+                out.add(skeleton("".join(at.get(i, c) for i, c in enumerate(printed))))
+    return tuple(out)
+
+
+def edit_keys(word: str) -> tuple[str, ...]:
+    """Keys of which two words share one if a lost, added or exchanged letter makes one of the other."""
+    return tuple({f"{EDITED}{word}", *(f"{EDITED}{word[:k]}{word[k + 1 :]}" for k in range(len(word)))})
+
+
+def word_keys(word: str) -> tuple[str, ...]:
+    """The keys under which a known word is found: by its skeleton, and by edits."""
+    edited = len(word) <= 2 * LONGEST and (word.isalpha() or not word.isascii())
+    return (skeleton(word), *edit_keys(word)) if edited else (skeleton(word),)
+
+
 class Channel:
-    """The language model and the channel: word and word-pair counts, and candidates for a printed word."""
+    """The language model and the channel: word and word-pair counts, and candidates for a printed word.
+
+    ``words`` and ``pairs`` are the usual ones. ``take`` adds the rarer ones that the text at hand asked for.
+    """
 
     def __init__(self, total: int, words: dict[str, int], pairs: dict[str, int]):
         self.total = max(total, 1)
@@ -128,6 +179,25 @@ class Channel:
         #: What was found for a word; words repeat, and what they may stand for does not depend on their place.
         self._found: dict[str, dict[str, float]] = {}
         self._letters: dict[str, set[str]] | None = None
+        #: Rarer words and pairs, and the words by their keys.
+        self.rest: dict[str, int] = {}
+        self._keyed: dict[str, list[str]] = {}
+        self._costs: dict[tuple[str, str, str], float | None] = {}
+
+    def take(self, rest: dict[str, int]) -> None:
+        """Counts of rarer words and pairs, in place of those taken before."""
+        self.rest, self._keyed = rest, {}
+        for w in rest:
+            if " " not in w:
+                for key in word_keys(w):
+                    self._keyed.setdefault(key, []).append(w)
+
+    def count(self, word: str) -> int:
+        return self.words.get(word) or self.rest.get(word, 0)
+
+    def pair(self, before: str, word: str) -> int:
+        both = f"{before} {word}"
+        return self.pairs.get(both) or self.rest.get(both, 0)
 
     def __getstate__(self) -> tuple:
         return self.total, self.words, self.pairs
@@ -145,15 +215,15 @@ class Channel:
 
     def likely(self, before: str, word: str) -> float:
         """Log probability of ``word`` after ``before``."""
-        one = self.words.get(word, 0) / self.total or self.unknown
-        n = self.words.get(before, 0)
+        one = self.count(word) / self.total or self.unknown
+        n = self.count(before)
         if n:
-            return math.log(0.7 * self.pairs.get(f"{before} {word}", 0) / n + 0.3 * one)
+            return math.log(0.7 * self.pair(before, word) / n + 0.3 * one)
         return math.log(one)
 
-    def _reversed(self, printed: str) -> dict[str, float]:
-        """Known words that the channel can turn into ``printed`` by confusions, with the log probability."""
-        found: dict[str, float] = {}
+    @staticmethod
+    def _reached(printed: str) -> dict[str, float]:
+        """What the channel can turn into ``printed`` by confusions, with the log probability."""
         seen = {printed: 0.0}
         edge = {printed: 0.0}
         for _ in range(OPS):
@@ -180,13 +250,15 @@ class Channel:
                 if p > seen.get(nxt, -1e9) and p > math.log(P_CONFUSION) * OPS - 1e-9:
                     seen[nxt] = p
                     edge[nxt] = p
-                    if nxt in self.words and p > found.get(nxt, -1e9):
-                        found[nxt] = p
-        found.pop(printed, None)
-        return found
+        del seen[printed]
+        return seen
+
+    def _reversed(self, printed: str) -> dict[str, float]:
+        """Usual words that the channel can turn into ``printed`` by confusions, with the log probability."""
+        return {w: p for w, p in self._reached(printed).items() if w in self.words}
 
     def _edited(self, printed: str) -> dict[str, float]:
-        """Known words one lost, added or exchanged letter away; a word that lost or exchanged one has 5 to 30 letters."""
+        """Usual words one lost, added or exchanged letter away; a word that lost or exchanged one has 5 to 30 letters."""
         out: dict[str, float] = {}
         letters = self._alphabet(printed)
         words = self.words
@@ -212,18 +284,30 @@ class Channel:
             if len(self._found) >= REMEMBERED:
                 self._found.clear()
             found = self._found[key] = self._reversed(printed) if name == "r" else self._edited(printed)
-        return found
+        rarer = self._rarer(name, printed) if self._keyed else None
+        return found | rarer if rarer else found
+
+    def _rarer(self, name: str, printed: str) -> dict[str, float]:
+        """As ``_reversed`` or ``_edited``, of the rarer words."""
+        keys = skeletons(printed) if name == "r" else edit_keys(printed)
+        near = {w for key in keys for w in self._keyed.get(key, ())} - {printed}
+        if any((name, printed, w) not in self._costs for w in near):
+            if len(self._costs) >= REMEMBERED:
+                self._costs.clear()
+            reached = self._reached(printed) if name == "r" else {w: p for w in near if (p := _edit(printed, w)) is not None}
+            self._costs.update(((name, printed, w), reached.get(w)) for w in near)
+        return {w: p for w in near if (p := self._costs[name, printed, w]) is not None}
 
     def candidates(self, word: str, before: str) -> list[tuple[str, float]]:
         """``(counted form, log probability of the channel)`` of what ``word`` may stand for, itself first."""
         low = gram(word)
         own = [(low, math.log(P_SAME))]
-        if low == NUMBER or len(word) > 40 or _ASIAN.search(word):
+        if low == NUMBER or len(word) > LONGEST or _ASIAN.search(word):
             return own
-        count = self.words.get(low, 0)
-        if any(c.isdigit() for c in word) and all(c.isdigit() or c in DIGITS or c in ".,()/:-" for c in word):
+        count = self.count(low)
+        if _like_number(word):
             # A number with a letter for a digit, if numbers are usual here; known codes stay.
-            share = self.pairs.get(f"{before} {NUMBER}", 0) / max(self.words.get(before, 0), 1)
+            share = self.pair(before, NUMBER) / max(self.count(before), 1)
             code = word[0] in "BZI"  # such as B12, unless numbers are usual here
             if share > 0.05 or not (count or code):
                 return [*own, (NUMBER, math.log(P_CONFUSION))]
@@ -241,13 +325,13 @@ class Channel:
                 own = [(low, MALFORMED)]
         elif count:
             # A known word stands for another one only if that is far more usual.
-            found = {w: p for w, p in found.items() if p >= math.log(P_CONFUSION) - 1e-9 and self.words[w] > KNOWN_RATIO * count}
+            found = {w: p for w, p in found.items() if p >= math.log(P_CONFUSION) - 1e-9 and self.count(w) > KNOWN_RATIO * count}
         elif not found and len(low) >= 5 and word.isalpha() and not word[0].isupper():
             found = self._remembered("e", low)
         if word[:1].isupper() and word.isalpha() and not count:
             # An unknown capitalised word is a name unless a usual confusion of a usual word explains it.
-            found = {w: p for w, p in found.items() if p >= math.log(P_CONFUSION) * 2 - 1e-9 and self.words[w] / self.total > 2e-5}
-        return own + sorted(found.items(), key=lambda x: (-(x[1] + math.log(self.words[x[0]])), x[0]))
+            found = {w: p for w, p in found.items() if p >= math.log(P_CONFUSION) * 2 - 1e-9 and self.count(w) / self.total > 2e-5}
+        return own + sorted(found.items(), key=lambda x: (-(x[1] + math.log(self.count(x[0]))), x[0]))
 
     def decode(self, tokens: list[str], before: str = "") -> list[str | None]:
         """For each printed token the counted form it stands for, or None where it stands for itself: Viterbi."""
@@ -264,6 +348,9 @@ class Channel:
             if o[0][0] == "":
                 score = {k: (s, (*path, 0)) for k, (s, path) in score.items()}
                 continue
+            if len(score) == len(o) == 1:  # nothing to choose
+                score = {o[0][0]: (s, (*path, 0)) for s, path in score.values()}
+                continue
             nxt: dict[str, tuple[float, tuple]] = {}
             for j, (w, p) in enumerate(o):
                 s, path = max((s + self.likely(k, w), path) for k, (s, path) in score.items())
@@ -273,6 +360,56 @@ class Channel:
         _, path = max(score.values())
         return [options[i][j][0] if j else None for i, j in enumerate(path)]
 
+    def asked_of_word(self, word: str, joined: bool) -> Iterator[str]:
+        """Keys of the rarer words that count where ``word`` is printed; of ``joined`` parts, with a hyphen between them or none."""
+        low = gram(word)
+        known = low in self.words
+        if _ASIAN.search(word) or (known and not joined and not _MALFORMED.search(word)):
+            return
+        yield from skeletons(low)
+        if _like_number(word):
+            yield skeleton(NUMBER)
+        # Edits are tried only where no confusion explains the word.
+        if not known and len(low) >= 5 and len(word) <= LONGEST and word.isalpha() and not word[0].isupper() and not self._remembered("r", low):
+            yield from edit_keys(low)
+
+    def asked_of_pairs(self, tokens: list[str]) -> Iterator[str]:
+        """The pairs that ``decode`` may look at and that are not among the usual ones."""
+        last, states = "", [""]
+        for w in (core(t)[1] for t in tokens):
+            if not w:
+                continue
+            forms = [form for form, _ in self.candidates(w, last)]
+            if _like_number(w):
+                forms = [*forms, NUMBER]
+                yield f"{last} {NUMBER}"
+            if len(states) > 1 or len(forms) > 1:
+                for k, form in itertools.product(states, forms):
+                    if (both := f"{k} {form}") not in self.pairs and self.count(k) and self.count(form):
+                        yield both
+            last, states = gram(w), forms
+
+
+def _like_number(word: str) -> bool:
+    """Whether ``word`` has digits, and else only letters that are taken for digits."""
+    return any(c.isdigit() for c in word) and all(c.isdigit() or c in DIGITS or c in ".,()/:-" for c in word)
+
+
+def _edit(printed: str, word: str) -> float | None:
+    """The log probability of ``_edited`` that ``printed`` stands for the known ``word``; None if it can't."""
+    k = next((i for i, (a, b) in enumerate(zip(printed, word)) if a != b), min(len(printed), len(word)))
+    if len(word) == len(printed) - 1:
+        return math.log(P_EDIT) if printed[k + 1 :] == word[k:] else None
+    added = len(word) == len(printed) + 1
+    if not (4 <= len(printed) < 30 if added else 5 <= len(printed) <= 30) or not word.isalpha():
+        return None
+    if word[k + 1 :] != (printed[k:] if added else printed[k + 1 :]):
+        return None
+    script = unicodedata.name(word[k], "?").split()[0]
+    if script not in {unicodedata.name(c, "?").split()[0] for c in printed}:
+        return None
+    return math.log(P_EDIT if added else P_EDIT * RARE)
+
 
 def _restored(printed: str, form: str) -> str:
     """The counted form in the case of the printed word."""
@@ -291,23 +428,21 @@ def is_compound(left: str, right: str, mark: str, channel: Channel) -> bool:
     if mark not in "-‐‑":
         return False
     a, b = core(left)[1], core(right)[1]
-    whole = channel.words.get((a + b).lower(), 0)
-    hyphened = channel.words.get(f"{a}-{b}".lower(), 0)
+    whole = channel.count((a + b).lower())
+    hyphened = channel.count(f"{a}-{b}".lower())
     if whole or hyphened:
         return hyphened > whole
     return a[:1].isupper() and b[:1].isupper()
 
 
-def repair(
-    body: str, cut_before: str | None, after: str | None, channel: Channel
-) -> tuple[str, bool, bool, list[tuple[str, str]]]:
-    """The repaired text of one unit, whether a word is cut, whether a character is misread, and the corrections.
+def tokens_of(body: str, cut_before: str | None, after: str | None, channel: Channel) -> tuple[list[str], bool]:
+    """The tokens of one unit with their cut words joined, and whether a word is cut.
 
     ``cut_before`` is the text before this unit, whose last word may go on here; ``after`` the text that follows.
     """
     lines = [x for x in body.split("\n") if x.strip()]
     if not lines:
-        return "", False, False, []
+        return [], False
     tokens: list[str] = []
     hyphen = False
     skip = False
@@ -351,7 +486,37 @@ def repair(
         tokens += words
     if carry is not None:
         tokens.append(carry[0])
-    tokens = [t.replace("­", "") for t in tokens]
+    return [t.replace("\u00ad", "") for t in tokens], hyphen
+
+
+def possible_words(body: str, after: str | None) -> Iterator[tuple[str, bool]]:
+    """All that ``tokens_of`` may look up or return, however it decides, and whether it is joined; joined parts have no hyphen here."""
+    lines = [x for x in body.split("\n") if x.strip()]
+    left = None
+    for k, line in enumerate(lines):
+        words = line.split()
+        yield from ((core(t.replace("\u00ad", ""))[1], False) for t in words)
+        if left is not None:
+            yield core(left)[1] + core(words[0])[1], True
+            words[0] = left + words[0]
+            yield core(words[0].replace("\u00ad", ""))[1], True
+        left = None
+        cut = cut_at_end(line)
+        if cut:
+            left = words[-1].removesuffix(cut[1])
+            yield core(left.replace("\u00ad", ""))[1], True
+    first = _FIRST.match(after) if after else None
+    if left is not None and first:
+        right = first.group("right")
+        yield core(left)[1] + core(right)[1], True
+        yield core((left + right).replace("\u00ad", ""))[1], True
+
+
+def repair(
+    body: str, cut_before: str | None, after: str | None, channel: Channel
+) -> tuple[str, bool, bool, list[tuple[str, str]]]:
+    """The repaired text of one unit, whether a word is cut, whether a character is misread, and the corrections."""
+    tokens, hyphen = tokens_of(body, cut_before, after, channel)
     found = channel.decode(tokens)
     fixes, out = [], []
     for t, form in zip(tokens, found):
@@ -422,14 +587,16 @@ def _tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
-def word_counts(units: DataFrame) -> Channel:
-    """Counts of all words and word pairs of the corpus, added up per partition before they are shuffled.
-
-    Words and pairs of a share below ``KEPT`` are left out, so at most 1 / KEPT of each are brought to the driver and sent to
-    the workers.
-    """
+def counted_grams(units: DataFrame) -> DataFrame:
+    """Counts of all words (``size`` 1) and word pairs (2) of the corpus, added up per partition before they are shuffled."""
     counted = units.select("text").mapInPandas(_tallied, "gram string, n long, size int")
-    counted = written(counted.groupBy("size", "gram").agg(F.sum("n").alias("n")), "grams")
+    return written(counted.groupBy("size", "gram").agg(F.sum("n").alias("n")), "grams")
+
+
+def word_counts(units: DataFrame, counted: DataFrame | None = None) -> Channel:
+    """The model with the usual words and pairs: those of a share of ``KEPT``, so at most 1 / KEPT of each are brought to the
+    driver and sent to the workers. ``rarer`` has the others."""
+    counted = counted_grams(units) if counted is None else counted
     total = counted.where("size = 1").agg(F.sum("n")).first()[0] or 0
     kept = counted.where(F.col("n") >= max(LEAST, total * KEPT)).toArrow().to_pydict()
     words = {g: n for g, n, size in zip(kept["gram"], kept["n"], kept["size"]) if size == 1}
@@ -437,6 +604,78 @@ def word_counts(units: DataFrame) -> Channel:
     return Channel(total, words, pairs)
 
 
+def rarer(units: DataFrame, counted: DataFrame, sent: Broadcast) -> DataFrame | None:
+    """``doc_id``, ``home``, ``gram``, ``n``: all known words and pairs below the share of ``KEPT`` that the text of each window of
+    ``units`` may look at. None if the corpus has none."""
+    total = sent.value.total
+    if total * KEPT <= LEAST:
+        return None
+    known = counted.where((F.col("n") >= LEAST) & (F.col("n") < total * KEPT))
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(key, w, n) for w, n in zip(batch["gram"], batch["n"]) for key in word_keys(w)], columns=["key", "gram", "n"])
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        channel = sent.value
+        channel.take({})
+        for batch in batches:
+            out = {
+                (d, h, key)
+                for d, h, body, after in zip(batch["doc_id"], batch["home"], batch["body"], batch["following"])
+                for w, joined in possible_words(body, after)
+                if w
+                for key in channel.asked_of_word(w, joined)
+            }
+            yield pd.DataFrame(list(out), columns=["doc_id", "home", "key"])
+
+    def ask_pairs(r: tuple, channel: Channel) -> list[tuple]:
+        asked = channel.asked_of_pairs(tokens_of(r.body, r.previous, r.following, channel)[0])
+        return [(r.doc_id, r.home, both) for both in dict.fromkeys(asked)]
+
+    place = "doc_id long, home long"
+    asked = units.mapInPandas(ask, f"{place}, key string").distinct()
+    by_key = known.where("size = 1").select("gram", "n").mapInPandas(keyed, "key string, gram string, n long")
+    words = written(asked.join(by_key, "key").select("doc_id", "home", "gram", "n").distinct(), "rarer_words")
+    pairs = over_windows(units, words, sent, ask_pairs, f"{place}, gram string").distinct()
+    pairs = pairs.join(known.where("size = 2").select("gram", "n"), "gram")
+    return words.unionByName(written(pairs.select("doc_id", "home", "gram", "n"), "rarer_pairs"))
+
+
+def over_windows(units: DataFrame, rest: DataFrame | None, sent: Broadcast, work: Callable[[tuple, Channel], list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``work`` makes of each unit, with the counts of its window in ``rest`` taken into the channel.
+
+    A window's counts stream before its units, so a worker holds those of one window.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+    rows = units.withColumn("given", F.lit(False))
+    if rest is not None:
+        rows = rest.withColumn("given", F.lit(True)).unionByName(rows, allowMissingColumns=True)
+        rows = rows.repartition("doc_id", "home").sortWithinPartitions("doc_id", "home", F.desc("given"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        channel = sent.value
+        channel.take({})
+        window, counts, fresh = None, {}, False
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if (r.doc_id, r.home) != window:
+                    window, fresh = (r.doc_id, r.home), bool(counts)
+                    counts = {}
+                if r.given:
+                    counts[r.gram] = int(r.n)
+                    fresh = True
+                    continue
+                if fresh:
+                    channel.take(counts)
+                    fresh = False
+                out += work(r, channel)
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.mapInPandas(read, schema)
+
+
 #: A line break that wraps a line: the next line is no item of a list.
 _WRAPPED = r"[^\n]\n(?!\s*\n)(?!\(?[A-Za-z0-9]{1,4}[.)]\s)"
 SCANNED_SHARE = 0.25
@@ -519,7 +758,8 @@ def repaired_units(sentences: DataFrame, wanted: Callable[[DataFrame], DataFrame
     are counted over all units.
     """
     units = _units(sentences)
-    sent = units.sparkSession.sparkContext.broadcast(word_counts(units))
+    counted = counted_grams(units)
+    sent = units.sparkSession.sparkContext.broadcast(word_counts(units, counted))
     scans = written(units.join(written(wanted(scanned_uploads(units)), "scanned"), "doc_id"), "scans")
     in_unit = running_headers(scans).groupBy("doc_id", "seq").agg(F.collect_set("head").alias("heads"))
     marked = scans.join(in_unit, ["doc_id", "seq"], "left")
@@ -548,16 +788,12 @@ def repaired_units(sentences: DataFrame, wanted: Callable[[DataFrame], DataFrame
         "furniture boolean, fixes array<string>"
     )
 
-    def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        channel = sent.value
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                text, hyphen, misread, fixes = repair(r.body, r.previous, r.following, channel)
-                out.append((r.doc_id, r.seq, text, r.start_char, r.end_char, hyphen, misread, r.furniture, [f"{a} > {b}" for a, b in fixes]))
-            yield pd.DataFrame(out, columns=["doc_id", "seq", "text", "start_char", "end_char", "hyphen", "misread", "furniture", "fixes"])
+    def mend(r: tuple, channel: Channel) -> list[tuple]:
+        text, hyphen, misread, fixes = repair(r.body, r.previous, r.following, channel)
+        return [(r.doc_id, r.seq, text, r.start_char, r.end_char, hyphen, misread, r.furniture, [f"{a} > {b}" for a, b in fixes])]
 
-    return beside.mapInPandas(mend, schema)
+    beside = written(beside.select("doc_id", "home", "seq", "start_char", "end_char", "furniture", "body", "previous", "following"), "bodies")
+    return over_windows(beside, rarer(beside, counted, sent), sent, mend, schema)
 
 
 def noise_found(sentences: DataFrame, pairs: DataFrame) -> DataFrame:
