@@ -178,6 +178,9 @@ class Channel:
         self.unknown = 0.02 / self.total
         #: What was found for a word; words repeat, and what they may stand for does not depend on their place.
         self._found: dict[str, dict[str, float]] = {}
+        #: Candidates of printed words that depend on no rarer word and no place, and printed words that ask for none.
+        self._fixed: dict[str, list[tuple[str, float]]] = {}
+        self._silent: set[str] = set()
         self._letters: dict[str, set[str]] | None = None
         #: Rarer words and pairs, and the words by their keys.
         self.rest: dict[str, int] = {}
@@ -222,6 +225,7 @@ class Channel:
         return math.log(one)
 
     @staticmethod
+    @functools.lru_cache(8)  # it is asked for usual and for rarer words in turn
     def _reached(printed: str) -> dict[str, float]:
         """What the channel can turn into ``printed`` by confusions, with the log probability."""
         seen = {printed: 0.0}
@@ -300,7 +304,17 @@ class Channel:
 
     def candidates(self, word: str, before: str) -> list[tuple[str, float]]:
         """``(counted form, log probability of the channel)`` of what ``word`` may stand for, itself first."""
-        low = gram(word)
+        found = self._fixed.get(word)
+        if found is None:
+            low = gram(word)
+            found = self._candidates(word, low, before)
+            if low == NUMBER or (low in self.words and not _like_number(word) and not _MALFORMED.search(word)):
+                if len(self._fixed) >= REMEMBERED:
+                    self._fixed.clear()
+                self._fixed[word] = found
+        return found
+
+    def _candidates(self, word: str, low: str, before: str) -> list[tuple[str, float]]:
         own = [(low, math.log(P_SAME))]
         if low == NUMBER or len(word) > LONGEST or _ASIAN.search(word):
             return own
@@ -340,7 +354,7 @@ class Channel:
         last = before
         for w in cores:
             options.append(self.candidates(w, last) if w else [("", 0.0)])
-            last = gram(w) if w else last
+            last = options[-1][0][0] if w else last
         if all(len(o) == 1 for o in options):
             return [None] * len(tokens)
         score = {before: (0.0, ())}
@@ -362,9 +376,15 @@ class Channel:
 
     def asked_of_word(self, word: str, joined: bool) -> Iterator[str]:
         """Keys of the rarer words that count where ``word`` is printed; of ``joined`` parts, with a hyphen between them or none."""
+        if word in self._silent and not joined:
+            return
         low = gram(word)
         known = low in self.words
         if _ASIAN.search(word) or (known and not joined and not _MALFORMED.search(word)):
+            if not joined:
+                if len(self._silent) >= REMEMBERED:
+                    self._silent.clear()
+                self._silent.add(word)
             return
         yield from skeletons(low)
         if _like_number(word):
@@ -380,14 +400,14 @@ class Channel:
             if not w:
                 continue
             forms = [form for form, _ in self.candidates(w, last)]
-            if _like_number(w):
+            if w not in self._fixed and _like_number(w):
                 forms = [*forms, NUMBER]
                 yield f"{last} {NUMBER}"
             if len(states) > 1 or len(forms) > 1:
                 for k, form in itertools.product(states, forms):
                     if (both := f"{k} {form}") not in self.pairs and self.count(k) and self.count(form):
                         yield both
-            last, states = gram(w), forms
+            last, states = forms[0], forms
 
 
 def _like_number(word: str) -> bool:
